@@ -5,11 +5,13 @@ must share at least a = ceil(3n/4) of them with any partner, so two partners sha
 each, and k of them among the first n - a + k.
 
 * If the first token that they share is rare, it is in both short prefixes: every rare token there is indexed alone.
+  All that they share up to the end of the prefix that ends first lies in both, so the number of tokens found in common
+  and the length of the rest bound what they can share; pairs that this bound rules out are not verified.
 * If it is frequent, all that they share is frequent, and 1 + C of these lie in prefixes longer by C. The frequent
   tokens fall into C classes by hash, so some class has two of them: every pair of frequent tokens of a class in the
   longer prefix is indexed. C follows the size class of the set (sets near the edge of a class are indexed for both).
 
-Pairs found by a rare token are verified over their texts. Sets found by combinations of frequent tokens have all their
+Pairs left by rare tokens are verified over their texts. Sets found by combinations of frequent tokens have all their
 rare tokens in the short prefix, and share none; so what they share is counted on their frequent tokens alone, exactly,
 as a matrix product. Such sets are first grouped (those that share a combination), a group is cut into chunks, and each
 pair of chunks is one cell: a group of any size is spread over the tasks, and only links that join components leave a
@@ -115,6 +117,11 @@ def _frequent(least, table: pa.Table) -> pa.Table:
     return pa.table({"token": pa.array((token[begin][keep].astype(np.int64)) + (bucket << 32), pa.int64()), "n": pa.array(total[keep], pa.int64())})
 
 
+def least_shared(n):
+    """What a set of n tokens shares with any partner at least: ceil(3n/4)."""
+    return (3 * n + 3) // 4
+
+
 def size_class(n: int) -> int:
     return n.bit_length() - 1
 
@@ -122,7 +129,7 @@ def size_class(n: int) -> int:
 def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a sorted set with a mask of its frequent tokens: keys of rare tokens, keys of frequent ones, and these tokens if there are any of the latter."""
     n = len(tokens)
-    prefix = n - -(-3 * n // 4) + 1
+    prefix = n - least_shared(n) + 1
     rare = tokens[~frequent]
     single = rare[:prefix]
     if len(rare) >= prefix or n == 0:
@@ -151,7 +158,7 @@ POSTED = "bucket int, kind int, ids binary, sizes binary, counts binary, keys bi
 
 
 def _packed(kind, bucket, docs, sizes, row, keys):
-    """One row per bucket: each document once, with its number of keys."""
+    """One row per bucket: each document once, with its set's size (twice, and one more if frequent tokens are in its prefix) and its number of keys."""
     order = np.lexsort((row, bucket))
     bucket, row, keys = bucket[order], row[order], keys[order]
     begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(bucket) else []
@@ -189,6 +196,8 @@ def _posted(buckets, held, batches):
                     found[kind].append((r, keys))
             begin += n
         del tokens, mask
+        sizes *= 2
+        sizes[[r for r, _ in found[2]]] += 1
         rows = []
         for kind, own in enumerate(found):
             if own:
@@ -218,11 +227,11 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, begin[length > 1], length[length > 1]
 
 
-FOUND = "kind int, a long, b long, n long, tokens binary"
+FOUND = "kind int, a long, b long, n long, least long, tokens binary"
 
 
 def _found(table: pa.Table) -> pa.Table:
-    """Pairs that share a rare key (kind 0), links to the first set with the same key of frequent tokens (1), and sets with their frequent tokens (2)."""
+    """Pairs that share rare keys, with how many here and how many they must share in all (kind 0), links to the first set with the same key of frequent tokens (1), and sets with their frequent tokens (2)."""
     ids, sizes, keys = _unpacked(table, 0, np.uint32)
     order, begin, length = _runs(keys)
     some = []
@@ -232,10 +241,14 @@ def _found(table: pa.Table) -> pa.Table:
             for part in np.array_split(runs, max(1, len(runs) * (m - k) // 200_000)):
                 x = (part[:, None] + np.arange(m - k)).ravel()
                 p, q = order[x], order[x + k]
-                ok = (ids[p] != ids[q]) & (4 * np.minimum(sizes[p], sizes[q]) >= 3 * np.maximum(sizes[p], sizes[q]))
-                p, q = ids[p[ok]], ids[q[ok]]
-                some.append(np.column_stack([np.minimum(p, q), np.maximum(p, q)]))
-    pairs = np.unique(np.concatenate(some), axis=0) if some else np.zeros((0, 2), np.int64)
+                n, o = sizes[p] >> 1, sizes[q] >> 1
+                ok = (ids[p] != ids[q]) & (4 * np.minimum(n, o) >= 3 * np.maximum(n, o))
+                p, q, n, o = p[ok], q[ok], n[ok], o[ok]
+                least = -(-3 * (n + o) // 7) - np.maximum(least_shared(n), least_shared(o)) + 1
+                least = np.where(sizes[p] & sizes[q] & 1, 1, np.maximum(least, 1))
+                p, q = ids[p], ids[q]
+                some.append(np.column_stack([np.minimum(p, q), np.maximum(p, q), least]))
+    pairs, many = np.unique(np.concatenate(some), axis=0, return_counts=True) if some else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
     ids, sizes, keys = _unpacked(table, 1, np.uint32)
     order, begin, length = _runs(keys)
     near = np.zeros((0, 2), np.int64)
@@ -254,7 +267,8 @@ def _found(table: pa.Table) -> pa.Table:
             "kind": pa.array(kind),
             "a": pa.array(np.concatenate([pairs[:, 0], near[:, 0], ids[new]]), pa.int64()),
             "b": pa.array(np.concatenate([pairs[:, 1], near[:, 1], ids[new]]), pa.int64()),
-            "n": pa.array(np.concatenate([np.zeros(len(pairs) + len(near), np.int64), sizes[new]]), pa.int64()),
+            "n": pa.array(np.concatenate([many, np.zeros(len(near), np.int64), sizes[new] >> 1]), pa.int64()),
+            "least": pa.array(np.concatenate([pairs[:, 2], np.zeros(len(near) + len(new), np.int64)]), pa.int64()),
             "tokens": pa.array([None] * (len(pairs) + len(near)) + blobs, pa.binary()),
         }
     )
@@ -339,7 +353,7 @@ def class_links(texts: DataFrame) -> DataFrame:
     )
     by_frequent = written(cells.groupBy("component", "i", "j").applyInArrow(_cell, LINKS), "links")
 
-    pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
+    pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b"), "pairs")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
