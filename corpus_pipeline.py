@@ -1,8 +1,49 @@
-"""The corpus pipeline: stages in order, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: stages in order, each written as Parquet and read again as the next one's documents.
 
-STAGES: list = []
-ORACLE_SQL = None
+Quality classifier (documents that it rejects go), n-gram Jaccard join (the one of smallest id of each group of linked
+documents stays), benchmark decontamination (documents with a hit go), secret scans (secrets are masked in the text),
+BPE encoding (the result: tokens and digests of each document that is left).
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lakeweave.llm import bpe, co_training, decontaminate, ngram_join, secrets
+from lakeweave.llm.common import shared_dir, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return co_training.keep_good(docs, table(spark, sf_dir, "labels"), ["lang", "source", "n_chars"])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs, length_col="n_chars")
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scan", secret_scan), ("encoding", encoding)]
+
+ORACLE_SQL = None  # no SQL has the classifier and the tokenizer; tests/llm holds the pipeline against a plain version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/lakeweave/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import carried
 from lakeweave.llm.text import U64, WHITE, slices, string_buffers, words_of
 
 LABELLED = 6_000
@@ -243,6 +244,21 @@ def train(docs: DataFrame, labels: DataFrame, meta_cols: list[str], id_col="doc_
     return co_train(text, meta, np.array([r["y"] for r in found]), rounds)
 
 
+def _scored(held, threshold, batches):
+    model = held.value
+    for batch in batches:
+        for i, j, dense, pairs in text_features(batch.column(1)):
+            n = j - i
+            if model is None:
+                one = [np.ones(n)] * 3
+            else:
+                meta = np.array(batch.column(2).slice(i, n).to_pylist(), np.int64).reshape(n, -1)
+                a = model.text.margin(dense, pairs // WORD_BUCKETS, pairs % WORD_BUCKETS)
+                b = model.meta.margin(np.ones((n, 1)), np.repeat(np.arange(n), meta.shape[1]), meta.ravel())
+                one = [np.round(x, 6) for x in model.scores(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), *(pa.array(x) for x in one), pa.array(one[2] >= threshold)], names=["doc_id", "text_prob", "meta_prob", "score", "keep"])
+
+
 def classify(docs: DataFrame, labels: DataFrame, meta_cols: list[str] | None = None, id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", threshold: float = THRESHOLD, **sizes) -> DataFrame:
     """One row per document: the calibrated probability of good quality by each view and by both, and whether it stays.
 
@@ -255,19 +271,13 @@ def classify(docs: DataFrame, labels: DataFrame, meta_cols: list[str] | None = N
     model = train(docs, labels, columns, id_col, text_col, label_id_col, label_col, **sizes)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        model = held.value
-        for batch in batches:
-            for i, j, dense, pairs in text_features(batch.column(1)):
-                n = j - i
-                if model is None:
-                    one = [np.ones(n)] * 3
-                else:
-                    meta = np.array(batch.column(2).slice(i, n).to_pylist(), np.int64).reshape(n, -1)
-                    a = model.text.margin(dense, pairs // WORD_BUCKETS, pairs % WORD_BUCKETS)
-                    b = model.meta.margin(np.ones((n, 1)), np.repeat(np.arange(n), meta.shape[1]), meta.ravel())
-                    one = [np.round(x, 6) for x in model.scores(a, b)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), *(pa.array(x) for x in one), pa.array(one[2] >= threshold)], names=["doc_id", "text_prob", "meta_prob", "score", "keep"])
-
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), meta_buckets(columns, dict(docs.dtypes)).alias("meta"))
-    return rows.mapInArrow(run, SCORED)
+    return rows.mapInArrow(lambda batches: _scored(held, threshold, batches), SCORED)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, meta_cols: list[str] | None = None, id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", threshold: float = THRESHOLD, **sizes) -> DataFrame:
+    """The documents that classify() keeps, with all their columns; cases as there."""
+    columns = meta_cols if meta_cols is not None else [c for c in docs.columns if c not in (id_col, text_col)]
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, columns, id_col, text_col, label_id_col, label_col, **sizes))
+    inputs = [F.col(text_col).cast("string"), meta_buckets(columns, dict(docs.dtypes))]
+    return carried(docs, inputs, lambda batches: _scored(held, threshold, batches), lambda own, found: own.filter(found["keep"]))

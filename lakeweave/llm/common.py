@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,3 +69,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs, under names of its own, so that no other column can clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+
+
+def carried(docs: DataFrame, inputs: list[Column], function: Callable, combine: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """The rows of docs with all their columns, as combine(rows, results) makes them of a function's results.
+
+    The function gets batches of row numbers and inputs and gives a row for each, in order. So a filter or a change
+    needs no join with the texts, and rows without an id or with a repeated one are judged as they stand.
+    """
+    n, schema = len(docs.columns), docs.schema
+
+    def run(batches):
+        for batch in batches:
+            own = pa.Table.from_arrays(batch.columns[:n], names=schema.names)
+            given = pa.RecordBatch.from_arrays([pa.array(np.arange(len(batch))), *batch.columns[n:]], names=[f"i{k}" for k in range(1 + batch.num_columns - n)])
+            if len(batch):
+                yield from combine(own, pa.Table.from_batches(list(function(iter([given]))))).to_batches()
+
+    return docs.select(*(docs[f"`{c}`"] for c in docs.columns), *(x.alias(f"_input{k}") for k, x in enumerate(inputs))).mapInArrow(run, schema)

@@ -18,14 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lakeweave.llm.common import with_texts
+from lakeweave.llm.common import carried, with_texts
 from lakeweave.llm.text import NOT_WORD, Words, slices, string_buffers, word_hashes, words_of
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20  # of one broadcast block of windows
-FETCH_ROWS = 10_000
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 MATCHES = "doc_id long, item_id string, start_word long, n_words long, exact boolean"
@@ -195,6 +195,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
     return _run(docs, items, _digest, DIGEST, id_col, text_col, item_col, item_text_col, window, block_bytes)
 
 
+def clean(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that contamination() finds clean, with all their columns; cases as there."""
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(p) for p in item_blocks(items, item_col, item_text_col, window, block_bytes)]
+    return carried(docs, [docs[text_col].cast("string")], lambda batches: _digest(blocks, batches), lambda own, found: own.filter(pc.invert(found["contaminated"])))
+
+
 def matches(docs: DataFrame, items: DataFrame, slop: int = 0, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every occurrence as (document, item, first word, words, exact).
 

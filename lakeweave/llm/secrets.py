@@ -15,10 +15,11 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import with_texts
+from lakeweave.llm.common import carried, with_texts
 
 KINDS = ("assign", "access", "hex", "markov")
 # Fixed patterns of the contract; hex runs and access keys of the least length are the runs of it that pass.
@@ -137,7 +138,8 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def default_samples(docs: DataFrame, id_col="doc_id", text_col="text", sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> list[tuple[str, bool]]:
     """Labelled samples: generated secrets; generated identifiers and long words, outside base spans, of a bounded sample of documents."""
     d = with_texts(docs, id_col, text_col)
-    rows = d.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs)
+    ids = d.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    rows = d.where(F.col("doc_id").isin([r["doc_id"] for r in ids.collect()]) & F.col("text").isNotNull())
 
     def words(batches):
         for batch in batches:
@@ -152,6 +154,23 @@ def default_samples(docs: DataFrame, id_col="doc_id", text_col="text", sample_do
     return [(s, True) for s in random_strings(sample_strings)] + [(s, False) for s in ordinary]
 
 
+def _scanned(held, threshold, batches):
+    table = held.value
+    for batch in batches:
+        for k in range(0, len(batch), 512):
+            part = batch.slice(k, 512)
+            rows = []
+            for text in part.column(1).to_pylist():
+                own = text or ""
+                base = base_spans(own)
+                spans = sorted(base + markov_spans(own, base, table, threshold))
+                n = [sum(s[1] == kind for s in spans) for kind in range(4)]
+                rows.append((n[0], n[1], n[2], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), n[3], None if text is None else redact(own, spans)))
+            cols = list(zip(*rows, strict=True))
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[f.split()[0] for f in SCANNED.split(", ")])
+
+
 def scan(docs: DataFrame, samples: list[tuple[str, bool]] | None = None, threshold: float = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document: counts, spans in code points and the redacted text.
 
@@ -160,20 +179,20 @@ def scan(docs: DataFrame, samples: list[tuple[str, bool]] | None = None, thresho
     """
     held = docs.sparkSession.sparkContext.broadcast(fit_ratio(samples if samples is not None else default_samples(docs, id_col, text_col)))
 
-    def run(batches):
-        table = held.value
-        for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.slice(k, 512)
-                rows = []
-                for text in part.column(1).to_pylist():
-                    own = text or ""
-                    base = base_spans(own)
-                    spans = sorted(base + markov_spans(own, base, table, threshold))
-                    n = [sum(s[1] == kind for s in spans) for kind in range(4)]
-                    rows.append((n[0], n[1], n[2], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), n[3], None if text is None else redact(own, spans)))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[f.split()[0] for f in SCANNED.split(", ")])
-
-    return with_texts(docs, id_col, text_col).mapInArrow(run, SCANNED)
+    return with_texts(docs, id_col, text_col).mapInArrow(lambda batches: _scanned(held, threshold, batches), SCANNED)
+
+
+def redacted(docs: DataFrame, samples: list[tuple[str, bool]] | None = None, threshold: float = THRESHOLD, id_col="doc_id", text_col="text", length_col: str | None = None) -> DataFrame:
+    """The documents with their secrets masked and all their other columns; length_col, if given, follows a changed text."""
+    held = docs.sparkSession.sparkContext.broadcast(fit_ratio(samples if samples is not None else default_samples(docs, id_col, text_col)))
+    names = docs.columns
+
+    def combine(own, found):
+        changed = pc.not_equal(found["spans"], "")
+        text = found["redacted"].cast(own.schema.field(text_col).type)
+        if length_col:
+            length = pc.utf8_length(found["redacted"]).cast(own.schema.field(length_col).type)
+            own = own.set_column(names.index(length_col), length_col, pc.if_else(changed, length, own[length_col]))
+        return own.set_column(names.index(text_col), text_col, pc.if_else(changed, text, own[text_col]))
+
+    return carried(docs, [docs[text_col].cast("string")], lambda batches: _scanned(held, threshold, batches), combine)
