@@ -356,7 +356,7 @@ def class_links(texts: DataFrame) -> DataFrame:
     pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b"), "pairs")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     by_rare = written(both.mapInArrow(lambda batches: _verified(WORDS, batches), LINKS), "links")
     release(spark)
     return by_frequent.unionByName(by_rare)
@@ -374,7 +374,7 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     members = written(documents.mapInArrow(_fingerprints, "doc_id long, n_shingles long, print binary"), "members")
     classes = written(members.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("first")), "classes")
     firsts = classes.select(F.col("first").alias("doc_id"))
-    texts, name = bucketed(documents.where("doc_id is not null").join(firsts, "doc_id", "left_semi"), "doc_id")
+    texts, name = bucketed(documents.where("doc_id is not null").join(firsts.hint("merge"), "doc_id", "left_semi"), "doc_id")
     release(docs.sparkSession)
     found = components(class_links(texts))
     dropped(docs.sparkSession, name)
