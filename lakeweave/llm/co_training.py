@@ -30,9 +30,9 @@ EACH_ROUND = 400  # pseudo-labels of a class that a view gives in a round at mos
 CALIBRATE = 4  # one labelled document in so many is for calibration
 WORD_BUCKETS = 2048
 META_BUCKETS = 512
-THRESHOLD = 0.5
+THRESHOLD = 0.2  # of good quality: a document goes only if the views are 80 % sure that it is bad
 STEPS = 150
-DENSE = 18
+FARTHEST = 4.0  # standard deviations; what lies farther off counts as that far, so that no single odd feature decides
 KINDS = np.zeros((5, 256), bool)  # upper case, digits, marks, table bars, ends of sentences
 KINDS[0, 65:91] = KINDS[1, 48:58] = True
 KINDS[2, [35, 36, 37, 38, 42, 33, 64, 94, 126]] = True
@@ -67,17 +67,15 @@ def text_features(column: pa.Array):
             upper = np.bincount(words.row[KINDS[0][own[words.starts]] & KINDS[0][own[np.minimum(words.starts + 1, words.ends - 1)]] & (words.ends - words.starts > 1)], minlength=n)
             bars = np.bincount(words.row[KINDS[3][last]], minlength=n)
             mean = np.bincount(words.row, weights=words.ends - words.starts, minlength=n)
-            longest = np.zeros(n)
-            np.maximum.at(longest, words.row, np.minimum(words.ends - words.starts, 64))
             bucket = (h[first] >> U64(48)).astype(np.int64) % WORD_BUCKETS
             pairs = np.unique(words.row[first].astype(np.int64) * WORD_BUCKETS + bucket)
         else:
-            kinds_of_words = marked = upper = bars = mean = longest = np.zeros(n)
+            kinds_of_words = marked = upper = bars = mean = np.zeros(n)
         long = np.maximum(size, 1).astype(np.float64)
         share = kinds / long[:, None]
         dense = np.column_stack([
             np.ones(n), np.log1p(count), np.log1p(size), share, breaks / per, kinds_of_words / per, np.log(np.maximum(kinds_of_words, 1) / per),
-            same / per, marked / per, upper / per, bars / per, mean / per / 10, longest / 64, count == 0,
+            same / per, marked / per, upper / per, bars / per, mean / per / 10, count == 0,
         ])
         yield i, j, dense, pairs
 
@@ -97,12 +95,16 @@ class View:
         n = len(dense)
         counts = np.bincount(row, minlength=n)
         total = np.bincount(row, weights=self.hashed[bucket], minlength=n) / np.sqrt(np.maximum(counts, 1))
-        return ((dense - self.centre) / self.scale) @ self.dense + total
+        return scaled(dense, self.centre, self.scale) @ self.dense + total
 
     def calibrated(self, margin: np.ndarray) -> np.ndarray:
         return self.slope * margin + self.shift
 
 
+def scaled(dense: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((dense - centre) / scale, -FARTHEST, FARTHEST)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -112,7 +114,7 @@ def fit_view(dense, row, bucket, buckets, y, weight, steps: int = STEPS) -> View
     n = len(y)
     centre, scale = dense.mean(axis=0), dense.std(axis=0)
     centre[scale < 1e-9], scale[scale < 1e-9] = 0, 1
-    x = (dense - centre) / scale
+    x = scaled(dense, centre, scale)
     root = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
     w = np.zeros(dense.shape[1] + buckets)
     m, v = np.zeros_like(w), np.zeros_like(w)
