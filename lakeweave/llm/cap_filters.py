@@ -1,8 +1,8 @@
 """Near-duplicates among embeddings of equal label by spherical-cap filters.
 
 A filter is a direction on the sphere, and a vector belongs to every filter whose direction it exceeds a threshold
-with. The directions form a random product code: the space is cut into two blocks, each with CODEWORDS random unit
-vectors, and each pair of codewords is a direction. So the CODEWORDS**2 directions need not be tried one by one: a
+with. The directions form a random product code: the space, turned at random, is cut into two blocks, each with CODEWORDS random
+unit vectors, and each pair of codewords is a direction. So the CODEWORDS**2 directions need not be tried one by one: a
 vector's filters are list-decoded from its scores with the two codebooks. Vectors of one label and filter are compared
 by cosine in double precision; a pair found by several filters counts at the first of them.
 
@@ -28,36 +28,51 @@ from lakeweave.llm.components import components, forest
 LEAST = 0.93
 CODEWORDS = 128
 THRESHOLD = 2.8  # standard deviations of a random direction's score
+HIGHEST = 0.85  # the threshold as a cosine at most, for spaces of few dimensions
+FEWEST = 24  # filters of a vector that exceeds fewer: its best ones
 SEED = 93
 CHUNK = 256
 PAIRS_AT_ONCE = 20_000
 
-_books: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, int]] = {}
+FEW_DIMENSIONS = 8
+FEW_DIRECTIONS = 512
 
+_books: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-def codebooks(dimensions: int, codewords: int = CODEWORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, int]:
-    """The codewords of the two blocks (of a single dimension, the second block is empty), and where the second begins."""
+
+def codebooks(dimensions: int, codewords: int = CODEWORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The codewords of the two blocks, each turned by the same random rotation and as vectors of the whole space.
+
+    A space of few dimensions has no use for a product: its code is one block of FEW_DIRECTIONS directions, and the
+    other block has a single word, zero.
+    """
     key = (dimensions, codewords, seed)
     if key not in _books:
-        rng, cut = np.random.default_rng([seed, dimensions]), -(-dimensions // 2)
-        books = []
-        for size in (cut, dimensions - cut):
-            book = rng.standard_normal((codewords, size))
-            books.append(book / np.maximum(np.linalg.norm(book, axis=1, keepdims=True), 1e-300))
-        _books[key] = (books[0], books[1], cut)
+        rng = np.random.default_rng([seed, dimensions])
+        if dimensions < FEW_DIMENSIONS:
+            book = rng.standard_normal((FEW_DIRECTIONS, dimensions))
+            _books[key] = np.zeros((1, dimensions)), math.sqrt(2) * book / np.linalg.norm(book, axis=1, keepdims=True)
+        else:
+            turn, books = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0], []
+            for block in np.array_split(np.arange(dimensions), 2):
+                book = rng.standard_normal((codewords, len(block)))
+                books.append((book / np.linalg.norm(book, axis=1, keepdims=True)) @ turn[block])
+            _books[key] = books[0], books[1]
     return _books[key]
 
 
 def filters_of(unit: np.ndarray, threshold: float = THRESHOLD, codewords: int = CODEWORDS, seed: int = SEED) -> list[np.ndarray]:
-    """Of each unit vector the sorted numbers of the filters that it exceeds; of one that exceeds none, its best filter."""
-    first, second, cut = codebooks(unit.shape[1], codewords, seed)
-    least = threshold * math.sqrt(2 / unit.shape[1])
+    """Of each unit vector the sorted numbers of the filters that it exceeds, or of its FEWEST best."""
+    first, second = codebooks(unit.shape[1], codewords, seed)
+    least = math.sqrt(2) * min(threshold / math.sqrt(unit.shape[1]), HIGHEST)
     out = []
-    for s, t in zip(unit[:, :cut] @ first.T, unit[:, cut:] @ second.T, strict=True):
+    for s, t in zip(unit @ first.T, unit @ second.T, strict=True):
         some = np.flatnonzero(s >= least - t.max())
         i, j = np.nonzero(s[some][:, None] + t[None, :] >= least)
-        found = some[i] * codewords + j
-        out.append((found if len(found) else np.array([s.argmax() * codewords + t.argmax()])).astype(np.int32))
+        found = some[i] * len(t) + j
+        if len(found) < FEWEST:
+            found = np.sort(np.argpartition(-(s[:, None] + t[None, :]).ravel(), FEWEST)[:FEWEST])
+        out.append(found.astype(np.int32))
     return out
 
 
