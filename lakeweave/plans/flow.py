@@ -75,6 +75,28 @@ def run(settings: Settings, spark: SparkSession | None = None, entities: dict[st
     return log.summary()
 
 
+def register_views(spark: SparkSession, settings: Settings, entities: dict[str, Entity] | None = None) -> list[str]:
+    """Every table there is as a temporary view of its own name, for SQL."""
+    names = [("silver", e.table) for e in (entities or cards.entities(settings.reference)).values()]
+    names += [("gold", n) for n in ("gold_fato_transacao", "gold_cliente_mes", "gold_indicadores_risco", "gold_features_cliente", "gold_dim_estabelecimento", *marts.DIMENSIONS)] + [QUARANTINE, RUNS]
+    out = []
+    for layer, name in names:
+        table = SnapshotTable(spark, settings.table(layer, name))
+        if table.exists():
+            table.read().createOrReplaceTempView(name)
+            out.append(name)
+    return out
+
+
+def explain(spark: SparkSession, settings: Settings) -> str:
+    """The formatted plans of the enriched fact and of a query on one of its partitions."""
+    tables = silver(spark, cards.entities(settings.reference), settings)
+    fact = marts.products(tables, settings.reference)["gold_fato_transacao"]
+    stored = SnapshotTable(spark, settings.table("gold", "gold_fato_transacao")).read().where(f"data_particao = DATE'{settings.reference}'").select("id_transacao", "valor_liquido")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return "\n\n".join(df._jdf.queryExecution().explainString(mode) for df in (fact, stored))
+
+
 def violations(tables: dict[str, DataFrame], fact: DataFrame) -> DataFrame:
     """(invariant, n) of every broken invariant: one active version, valid and chained intervals, one row per transaction, net = gross - refunded."""
     from pyspark.sql import functions as F

@@ -156,6 +156,15 @@ def test_invariants_and_grain(spark, lake):
     assert fact.where("dispositivo is not null").count() > 0 and len(fact.columns) == 32
 
 
+def test_views_and_plans(spark, lake):
+    s = Settings(root=lake[0])
+    assert len(flow.register_views(spark, s)) == 16
+    assert spark.sql("SELECT count(*) FROM gold_fato_transacao WHERE elegivel_metrica").first()[0] > 0
+    assert spark.sql("SELECT count(*) FROM execucao_pipeline WHERE status = 'SUCESSO'").first()[0] >= 20
+    plan = flow.explain(spark, s)
+    assert "LeftOuter" in plan and "PartitionFilters: [isnotnull(data_particao" in plan and "ReadSchema: struct<id_transacao:bigint,valor_liquido:decimal(18,2)>" in plan
+
+
 def test_modes_and_missing_parents(spark, tmp_path):
     generate(str(tmp_path), clients=8, days=1)
     out = flow.run(Settings(root=str(tmp_path), mode="bronze"), spark)
