@@ -1,10 +1,12 @@
-"""Benchmark decontamination by a document-sharded positional inverted index.
+"""Benchmark decontamination by a distributed positional inverted index.
 
-Training tokens are held as postings: each task turns a slice of documents into one index shard, that is, for every
-term of the benchmark the sorted positions at which the slice has it. A test phrase (window) is found by taking the
-list of its rarest term in the shard, shifting it by the term's offset in the phrase, and intersecting the other
-terms' shifted lists from the rarer to the more frequent. Shards follow the documents, so nothing is shuffled, a hot
-source or term adds shards rather than a long list in one task, and a lost executor only costs the shards it held.
+build_index() stores the training tokens as postings: each task turns slices of documents into index shards, that is,
+for every term (hash of a word) of the slice the sorted positions at which it stands there. A test phrase (window) is
+found by taking the list of its rarest term in a shard, shifting it by the term's offset in the phrase, and intersecting
+the other terms' shifted lists from the rarer to the more frequent. Shards follow the documents, so nothing is shuffled,
+a hot source or term adds shards rather than a long list in one task, and a lost executor only costs the shards it held.
+The stored index can be searched for any benchmark; the functions that carry documents along index their slices in
+passing instead.
 
 The benchmark (not the corpus) goes to the tasks: in blocks of at most BLOCK_BYTES of windows, as many blocks as it
 needs, each against all documents.
@@ -21,11 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lakeweave.llm.common import carried, with_texts
-from lakeweave.llm.text import NOT_WORD, Words, slices, string_buffers, word_hashes, words_of
+from lakeweave.llm.common import carried, with_texts, written
+from lakeweave.llm.text import NOT_WORD, slices, string_buffers, word_hashes, words_of
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20  # of one broadcast block of windows
+SHARD_BYTES = 2 << 20  # of the texts of a shard, or one text
+INDEX = "doc_ids array<long>, first binary, terms binary, counts binary, positions binary"
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 MATCHES = "doc_id long, item_id string, start_word long, n_words long, exact boolean"
@@ -61,21 +65,33 @@ def phrases(rows: list[tuple[str, str]], window: int) -> Phrases:
     return Phrases(terms, windows, names)
 
 
+@dataclass
+class Lists:
+    """Postings of a shard: its documents, the first word of each (and the end), and by term the positions of its words."""
+
+    ids: pa.Array
+    first: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+    positions: np.ndarray
+
+
 class Shard:
-    """The positional index of a slice of documents, over the terms of a block of phrases."""
-
-    def __init__(self, words: Words, terms: np.ndarray):
-        if len(terms):
-            at = np.searchsorted(terms, words.hashes)
-            at[at == len(terms)] = 0
-            self.term = np.where(terms[at] == words.hashes, at, -1).astype(np.int32)
-        else:
-            self.term = np.full(len(words.hashes), -1, np.int32)
-        held = np.flatnonzero(self.term >= 0)
-        self.postings = held[np.argsort(self.term[held], kind="stable")]
-        self.counts = np.bincount(self.term[held], minlength=len(terms))
-        self.begin = np.concatenate(([0], np.cumsum(self.counts)))
-        self.row = words.row
+    """The lists of a shard for the terms of a block of phrases."""
+
+    def __init__(self, lists: Lists, terms: np.ndarray):
+        self.row = np.repeat(np.arange(len(lists.ids)), np.diff(lists.first))
+        self.postings, self.term = lists.positions, np.full(len(lists.positions), -1, np.int32)
+        self.counts, self.begin = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+        if len(terms) and len(lists.terms):
+            at = np.searchsorted(lists.terms, terms)
+            at[at == len(lists.terms)] = 0
+            held = np.flatnonzero(lists.terms[at] == terms)
+            starts = np.cumsum(lists.counts) - lists.counts
+            self.counts[held], self.begin[held] = lists.counts[at[held]], starts[at[held]]
+            many = self.counts[held]
+            into = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            self.term[self.postings[np.repeat(self.begin[held], many) + into]] = np.repeat(held, many)
 
     def find(self, windows: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(window number, start) of all occurrences; with slop, each term may stand up to so many words off its place."""
@@ -121,36 +137,60 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block
     yield phrases(rows, window)
 
 
-def _shards(batch: pa.RecordBatch):
+def _indexed(batch: pa.RecordBatch) -> Iterator[Lists]:
+    """The shards of a batch of documents."""
     data, offsets = string_buffers(batch.column(1))
-    ids = batch.column(0)
-    for i, j in slices(offsets):
-        yield ids.slice(i, j - i), words_of(data, offsets[i : j + 1], NOT_WORD)
+    for i, j in slices(offsets, SHARD_BYTES):
+        words = words_of(data, offsets[i : j + 1], NOT_WORD)
+        positions = np.argsort(words.hashes, kind="stable")
+        sorted_hashes = words.hashes[positions]
+        new = np.flatnonzero(np.concatenate(([True], sorted_hashes[1:] != sorted_hashes[:-1]))) if len(positions) else np.zeros(0, np.int64)
+        yield Lists(batch.column(0).slice(i, j - i), words.first, sorted_hashes[new], np.diff(np.append(new, len(positions))), positions)
+
+
+def _stored(batch: pa.RecordBatch) -> Iterator[Lists]:
+    """The shards of a batch of stored rows."""
+    for k in range(len(batch)):
+        ids, (first, terms, counts, positions) = batch.column(0)[k].values, (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in ((1, np.int64), (2, np.uint64), (3, np.uint32), (4, np.uint32)))
+        yield Lists(ids, first, terms, counts.astype(np.int64), positions.astype(np.int64))
+
+
+def build_index(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """The positional index of all words of all documents, a row for each shard, written to the shared folder. Null texts have no words."""
+
+    def run(batches):
+        for batch in batches:
+            for x in _indexed(batch):
+                blobs = [v.astype(t).tobytes() for v, t in ((x.first, np.int64), (x.terms, np.uint64), (x.counts, np.uint32), (x.positions, np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array([x.ids.to_pylist()], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in blobs)], names=[f.split()[0] for f in INDEX.split(", ")])
+
+    return written(with_texts(docs, id_col, text_col).mapInArrow(run, INDEX), "index")
 
 
-def _digest(blocks, batches):
+def _digest(blocks, shards, batches):
     for batch in batches:
-        for ids, words in _shards(batch):
-            n = len(ids)
-            edge = np.zeros(len(words.hashes) + 1, np.int64)
+        for lists in shards(batch):
+            n, total = len(lists.ids), len(lists.positions)
+            edge = np.zeros(total + 1, np.int64)
             found: dict[int, set[str]] = {}
+            row = np.zeros(0, np.int64)
             for block in blocks:
                 p = block.value
-                shard = Shard(words, p.terms)
+                shard = Shard(lists, p.terms)
+                row = shard.row
                 for windows, owner in p.windows:
                     which, start = shard.find(windows)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + windows.shape[1], -1)
-                    pairs = np.unique(np.column_stack([words.row[start], owner[which]]), axis=0)
-                    for row, item in pairs.tolist():
-                        found.setdefault(row, set()).add(p.items[item])
-            hit = np.cumsum(edge[:-1]) > 0
-            n_hit = np.bincount(words.row[hit], minlength=n)
+                    pairs = np.unique(np.column_stack([row[start], owner[which]]), axis=0)
+                    for r, item in pairs.tolist():
+                        found.setdefault(r, set()).add(p.items[item])
+            n_hit = np.bincount(row[np.cumsum(edge[:-1]) > 0], minlength=n)
             names = [",".join(sorted(found.get(r, ()))) for r in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids,
-                    pa.array(np.diff(words.first), pa.int64()),
+                    lists.ids,
+                    pa.array(np.diff(lists.first), pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array([len(found.get(r, ())) for r in range(n)], pa.int64()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
@@ -160,28 +200,27 @@ def _digest(blocks, batches):
             )
 
 
-def _matches(blocks, slop, batches):
+def _matches(blocks, shards, slop, batches):
     for batch in batches:
-        for ids, words in _shards(batch):
+        for lists in shards(batch):
             for block in blocks:
                 p = block.value
-                shard = Shard(words, p.terms)
+                shard = Shard(lists, p.terms)
                 for windows, owner in p.windows:
                     which, start = shard.find(windows, slop)
                     if not len(start):
                         continue
                     exact = (shard.term[start[:, None] + np.arange(windows.shape[1])] == windows[which]).all(axis=1)
-                    row = words.row[start]
+                    row = shard.row[start]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(row)), pa.array([p.items[k] for k in owner[which].tolist()]), pa.array(start - words.first[row], pa.int64()), pa.array(np.full(len(start), windows.shape[1]), pa.int64()), pa.array(exact)],
+                        [lists.ids.take(pa.array(row)), pa.array([p.items[k] for k in owner[which].tolist()]), pa.array(start - lists.first[row], pa.int64()), pa.array(np.full(len(start), windows.shape[1]), pa.int64()), pa.array(exact)],
                         names=["doc_id", "item_id", "start_word", "n_words", "exact"],
                     )
 
 
-def _run(docs, items, function, schema, id_col, text_col, item_col, item_text_col, window, block_bytes):
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(p) for p in item_blocks(items, item_col, item_text_col, window, block_bytes)]
-    return with_texts(docs, id_col, text_col).mapInArrow(lambda batches: function(blocks, batches), schema)
+def _blocks(df: DataFrame, items: DataFrame, item_col, item_text_col, window, block_bytes) -> list:
+    sc = df.sparkSession.sparkContext
+    return [sc.broadcast(p) for p in item_blocks(items, item_col, item_text_col, window, block_bytes)]
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -192,20 +231,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
     repeated documents count as they stand, items once by id; a null id stays null; no items or no documents: nothing
     is contaminated, no rows. Other columns are not read.
     """
-    return _run(docs, items, _digest, DIGEST, id_col, text_col, item_col, item_text_col, window, block_bytes)
+    blocks = _blocks(docs, items, item_col, item_text_col, window, block_bytes)
+    return build_index(docs, id_col, text_col).mapInArrow(lambda batches: _digest(blocks, _stored, batches), DIGEST)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that contamination() finds clean, with all their columns; cases as there."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(p) for p in item_blocks(items, item_col, item_text_col, window, block_bytes)]
-    return carried(docs, [docs[text_col].cast("string")], lambda batches: _digest(blocks, batches), lambda own, found: own.filter(pc.invert(found["contaminated"])))
+    blocks = _blocks(docs, items, item_col, item_text_col, window, block_bytes)
+    return carried(docs, [docs[text_col].cast("string")], lambda batches: _digest(blocks, _indexed, batches), lambda own, found: own.filter(pc.invert(found["contaminated"])))
 
 
-def matches(docs: DataFrame, items: DataFrame, slop: int = 0, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every occurrence as (document, item, first word, words, exact).
+def matches(index: DataFrame, items: DataFrame, slop: int = 0, item_col="item_id", item_text_col="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every occurrence in an index of build_index() as (document, item, first word, words, exact).
 
     With slop > 0 proximity matches come too: the terms other than the rarest may each stand up to `slop` words off
-    their place; `exact` tells the phrases from these. Null and empty texts as in contamination().
+    their place; `exact` tells the phrases from these. Items as in contamination().
     """
-    return _run(docs, items, lambda blocks, batches: _matches(blocks, slop, batches), MATCHES, id_col, text_col, item_col, item_text_col, window, block_bytes)
+    blocks = _blocks(index, items, item_col, item_text_col, window, block_bytes)
+    return index.mapInArrow(lambda batches: _matches(blocks, _stored, slop, batches), MATCHES)

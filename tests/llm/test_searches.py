@@ -57,8 +57,8 @@ def test_contamination(spark, prose, odd_docs):
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha beta gamma delta"), (2, "alpha beta one gamma delta"), (3, "delta gamma beta alpha")], "doc_id long, text string")
-    assert [tuple(r)[0:5:2] for r in decontaminate.matches(docs, bench).collect()] == [(1, 1, True)]
-    near = {(r["doc_id"], r["exact"]) for r in decontaminate.matches(docs, bench, slop=1).collect()}
+    assert [tuple(r)[0:5:2] for r in decontaminate.matches(decontaminate.build_index(docs), bench).collect()] == [(1, 1, True)]
+    near = {(r["doc_id"], r["exact"]) for r in decontaminate.matches(decontaminate.build_index(docs), bench, slop=1).collect()}
     assert near >= {(1, True), (2, False)} and 3 not in {d for d, _ in near}
 
 
