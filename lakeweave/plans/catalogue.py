@@ -425,7 +425,7 @@ def accounts(spark, sf):
 
 
 def clients(spark, sf):
-    c = read(spark, sf, "customer").join(F.broadcast(read(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return fixed_dimension(c.select(F.col("c_custkey").alias("id_cliente"), F.col("c_mktsegment").alias("segmento"), F.col("n_name").alias("cidade"), F.substring("n_name", 1, 2).alias("estado"), money("c_acctbal").alias("renda")))
 
 
