@@ -123,6 +123,19 @@ def test_pipeline(spark, prose, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secret_scan", "encoding"]
 
 
+def test_stages_on_odd_and_empty_documents(spark, odd_docs, tmp_path):
+    spark.createDataFrame([(4, 1, None), (5, 0, 1), (None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "ab ab ab"), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, str(tmp_path))
+        ids = sorted(str(r["doc_id"]) for r in out.collect())
+        assert len(ids) == {"quality": len(ids), "decontamination": 8}.get(name, 9) and (out.columns == odd_docs.columns or name == "encoding"), name
+        if name == "decontamination":
+            assert "5" not in ids
+        nothing = stage(spark, odd_docs.limit(0), str(tmp_path))
+        assert nothing.count() == 0 and nothing.columns == out.columns
+
+
 def test_registry():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
