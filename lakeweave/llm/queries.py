@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import bpe, cap_filters, co_training, decontaminate, langid, license_scan, ngram_join, pseudo_likelihood, secrets, site_style
+from lakeweave.llm import bpe, cap_filters, co_training, decontaminate, langid, license_scan, ngram_join, oracle, pseudo_likelihood, secrets, site_style
 from lakeweave.llm.common import table
 
 
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": license_scan.oracle_sql()}
+    return oracle.oracle_sql()
