@@ -18,8 +18,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    """The rows as sorted tuples."""
-    return sorted((tuple(r) for r in (df.select(*order) if order else df).collect()), key=repr)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from lakeweave.operators import quality
 from lakeweave.operators.quality import REASONS, WARN, Rule
 from lakeweave.plans import cards

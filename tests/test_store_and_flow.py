@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from lakeweave.operators import joins
 from lakeweave.plans import cards, flow, insight, runner
 from lakeweave.plans.runlog import RunLog
