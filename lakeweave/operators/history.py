@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions.columns import delete_flag, row_hash
-from lakeweave.operators.ordering import comparable
+from lakeweave.operators.ordering import latest
 
 HASH, START, END, ACTIVE, DELETED = "dw_hash_atributos", "dw_inicio_vigencia", "dw_fim_vigencia", "dw_versao_ativa", "dw_excluido"
 TECHNICAL = (HASH, START, END, ACTIVE, DELETED)
@@ -32,10 +32,8 @@ class Versioning:
 def prepared(events: DataFrame, v: Versioning) -> DataFrame:
     """One row per key and version: exact repeats are one, and of conflicting ones that of the greatest hash stays. A null version is no version."""
     marked = events.where(F.col(v.version).isNotNull()).withColumns({HASH: row_hash(v.tracked), DELETED: delete_flag(v.operation)})
-    names = [c for c in marked.columns if c not in (*v.keys, v.version)]
-    order = F.struct(HASH, DELETED, *comparable(marked, [c for c in names if c not in (HASH, DELETED)]))
-    best = marked.groupBy(*v.keys, v.version).agg(F.max_by(F.struct(*names), order).alias("_row"))
-    return best.select(*v.keys, v.version, *(F.col(f"_row.{c}").alias(c) for c in names)).withColumn(START, F.col(v.version)).select(*events.columns, HASH, START, DELETED)
+    best = latest(marked, [*v.keys, v.version], [HASH, DELETED])
+    return best.withColumn(START, F.col(v.version)).select(*events.columns, HASH, START, DELETED)
 
 
 def _by(v: Versioning):

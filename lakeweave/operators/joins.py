@@ -1,12 +1,11 @@
-"""Joins of facts with versioned dimensions, de-duplication and evolving unions."""
+"""Joins of facts with versioned dimensions, upserts and evolving unions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.operators.history import DELETED, END, START
-from lakeweave.operators.ordering import comparable
 
 
 def as_of_join(fact: DataFrame, dimension: DataFrame, fact_key: str, dimension_key: str, moment: str, columns: dict[str, str], include_deleted: bool = False) -> DataFrame:
@@ -22,14 +21,6 @@ def as_of_join(fact: DataFrame, dimension: DataFrame, fact_key: str, dimension_k
     return fact.join(right, condition, "left").drop("_key", "_start", "_end")
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """One row per key: the greatest by the order, which whole-row comparison completes, so that ties have one winner. Partial aggregation does it without a sort."""
-    names = [c for c in df.columns if c not in keys]
-    total = F.struct(*(F.col(o) if isinstance(o, str) else o for o in order), *comparable(df, names))
-    found = df.groupBy(*keys).agg(F.max_by(F.struct(*names), total).alias("_row"))
-    return found.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns))
-
-
 def evolving_union(*frames: DataFrame) -> DataFrame:
     """Union by name; columns that a frame lacks are null in its rows."""
     out = frames[0]

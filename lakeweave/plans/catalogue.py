@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.functions.columns import classify, delimited_hash, differs, guarded_ratio, layout_fingerprint, money, month_of, normalized, rounded, row_hash, tolerant_cast, trimmed
-from lakeweave.operators import history, joins, quality
+from lakeweave.operators import history, joins, ordering, quality
 from lakeweave.operators.history import Versioning
 from lakeweave.operators.quality import Rule
 from lakeweave.plans import insight, marts
@@ -48,7 +48,7 @@ LINES_SQL = f"lines AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTIT
 
 
 def lines(spark, sf):
-    return joins.latest(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_ORDER)
+    return ordering.latest(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_ORDER)
 
 
 def sales(spark, sf):

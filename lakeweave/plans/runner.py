@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.functions.columns import normalized, tolerant_cast, trimmed
-from lakeweave.operators import history, joins, quality
+from lakeweave.operators import history, joins, ordering, quality
 from lakeweave.plans.spec import Entity, Settings
 from lakeweave.sources.store import SnapshotTable
 
@@ -63,7 +63,7 @@ def run_entity(spark: SparkSession, entity: Entity, entities: dict[str, Entity],
         counters = {"read": rows.count(), "rejected": n_rejected}
         if entity.history:
             return counters | _versions(target, passed, entity, settings)
-        found = joins.latest(passed, list(entity.keys), [F.col("timestamp_ingestao"), F.col("arquivo_origem")])
+        found = ordering.latest(passed, list(entity.keys), [F.col("timestamp_ingestao"), F.col("arquivo_origem")])
         return counters | _facts(target, found, list(entity.keys))
     finally:
         rows.unpersist()

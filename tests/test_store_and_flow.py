@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
-from lakeweave.operators import joins
+from lakeweave.operators import joins, ordering
 from lakeweave.plans import cards, flow, insight, runner
 from lakeweave.plans.runlog import RunLog
 from lakeweave.plans.spec import Settings
@@ -35,7 +35,7 @@ def test_snapshots(spark, tmp_path):
 
 def test_latest_breaks_ties_totally(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (2, None, "x"), (2, 1, "y")], "k int, o int, v string")
-    assert rows(joins.latest(df, ["k"], ["o"])) == rows(joins.latest(df.orderBy("v"), ["k"], ["o"])) == [(1, 5, "b"), (2, 1, "y")]
+    assert rows(ordering.latest(df, ["k"], ["o"])) == rows(ordering.latest(df.orderBy("v"), ["k"], ["o"])) == [(1, 5, "b"), (2, 1, "y")]
 
 
 def test_landing(spark, tmp_path):
