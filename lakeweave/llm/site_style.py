@@ -5,10 +5,11 @@ root, and holds how often each child sequence (presentation) and each text (cont
 joins the normalised entropies of both over the pages of the host that have it: what always looks and reads alike is
 site furniture. Branches of low importance are removed from each page, together with branches that their own markup
 declares as furniture (menus, notices, adverts, forms and the like), which is all there is to go by on hosts of few
-pages or where furniture differs from page to page. A declared article is kept whole but for furniture declared in it,
-so that repeated articles don't vanish.
+pages or where furniture differs from page to page. Copies of a page count once, so that a host of copies tells
+nothing about what is furniture. A low branch loses only what stands outside the articles and main elements in it; an
+article or main is kept whole but for furniture declared in it.
 
-A tree exists only as rows (node, kind, value): counts are pre-aggregated in the tasks, so a host of any size is no
+A tree exists only as rows (page, node, kind, value), made distinct and counted with pre-aggregation in the tasks, so a host of any size is no
 group anywhere; only the list of a host's low nodes meets its pages, in a join.
 """
 
@@ -63,11 +64,12 @@ def label(tag: str, attributes: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "node", "furniture", "article", "main", "children", "content")
+    __slots__ = ("tag", "node", "furniture", "article", "main", "children", "content", "low")
 
     def __init__(self, tag, node, is_furniture, article, main):
         self.tag, self.node, self.furniture, self.article, self.main = tag, node, is_furniture, article, main
         self.children = self.content = 0
+        self.low = False
 
 
 def walk(source: str) -> Iterator[tuple[str, object, list[Element]]]:
@@ -135,18 +137,28 @@ def walk(source: str) -> Iterator[tuple[str, object, list[Element]]]:
     yield from close(1)
 
 
-def nodes(source: str) -> dict[int, tuple[int, int]]:
-    """The style nodes of a page: of each its children's labels and its text, as hashes over all its elements."""
+def nodes(source: str) -> tuple[int, dict[int, tuple[int, int]]]:
+    """A hash of a page's text outside declared furniture, and its style nodes: of each its children's labels and its text, as hashes over all its elements."""
     out: dict[int, tuple[int, int]] = {}
+    page = 0
     for event, what, stack in walk(source):
         if event == "text":
             words = what.split()
             if words:
-                stack[-1].content = (stack[-1].content * 31 + zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass"))) & MASK
+                own = zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass"))
+                stack[-1].content = (stack[-1].content * 31 + own) & MASK
+                if not stack[-1].furniture:
+                    page = (page * 1000003 + own) & MASK
         elif event == "close" and not what.furniture:
             a, b = out.get(what.node, (0, 0))
             out[what.node] = ((a * 31 + what.children) & MASK, (b * 31 + what.content) & MASK)
-    return out
+    return page, out
+
+
+def prune(e: Element, up: Element, low: frozenset[int]) -> None:
+    """Marks an element just opened as of low importance: never html, body, article, main and what these last two hold."""
+    if e.tag not in ("html", "body", "article", "main"):
+        e.low = (up.low or e.node in low) and not (e.article or e.main)
 
 
 def main_text(source: str | None, low: frozenset[int] = frozenset()) -> str:
@@ -168,12 +180,12 @@ def main_text(source: str | None, low: frozenset[int] = frozenset()) -> str:
             if here != place:
                 flush()
                 place = here
-            if not top.furniture:
+            if not (top.furniture or top.low):
                 parts.append(what)
-        elif event == "open" and what.node in low and not what.article and not what.main:
-            what.furniture = True
+        elif event == "open":
+            prune(what, stack[-2], low)
         if event != "text":
-            if what.tag in BLOCK or what.furniture and what.tag not in VOID:
+            if what.tag in BLOCK or (what.furniture or what.low) and what.tag not in VOID:
                 flush()
             elif what.tag == "br":
                 parts.append(" ")
@@ -187,20 +199,22 @@ def host(url: str = "url"):
 
 
 def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
-    """(host, nodes): the style nodes of low importance of each host. pages has host and html."""
+    """(host, nodes): the style nodes of low importance of each host, by its pages of distinct text. pages has host and html."""
 
     def run(batches):
         for batch in batches:
-            hosts, keys, kinds, values = [], [], [], []
+            hosts, ids, keys, kinds, values = [], [], [], [], []
             for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for node, pair in nodes(source or "").items():
+                page, found = nodes(source or "")
+                for node, pair in found.items():
                     hosts += [name, name]
+                    ids += [page, page]
                     keys += [node, node]
                     kinds += [0, 1]
                     values += pair
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(kinds, pa.int8()), pa.array(values, pa.int64())], names=["host", "node", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(kinds, pa.int8()), pa.array(values, pa.int64())], names=["host", "page", "node", "kind", "value"])
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, node long, kind byte, value long")
+    rows = pages.select("host", "html").mapInArrow(run, "host string, page long, node long, kind byte, value long").distinct()
     counts = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
     entropy = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s")).withColumn("e", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0))
     weight = F.when(F.col("kind") == 0, PRESENTATION_WEIGHT).otherwise(1 - PRESENTATION_WEIGHT)
