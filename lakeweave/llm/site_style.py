@@ -7,7 +7,7 @@ site furniture. Branches of low importance are removed from each page, together
 declares as furniture (menus, notices, adverts, forms and the like), which is all there is to go by on hosts of few
 pages or where furniture differs from page to page. Copies of a page count once, so that a host of copies tells
 nothing about what is furniture. A low branch loses only what stands outside the articles and main elements in it; an
-article or main is kept whole but for furniture declared in it.
+article or main that is low itself is kept whole but for furniture declared in it.
 
 A tree exists only as rows (page, node, kind, value), made distinct and counted with pre-aggregation in the tasks, so a host of any size is no
 group anywhere; only the list of a host's low nodes meets its pages, in a join.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,12 +65,12 @@ def label(tag: str, attributes: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "node", "furniture", "article", "main", "children", "content", "low")
+    __slots__ = ("tag", "node", "furniture", "article", "main", "children", "content", "low", "whole")
 
     def __init__(self, tag, node, is_furniture, article, main):
         self.tag, self.node, self.furniture, self.article, self.main = tag, node, is_furniture, article, main
         self.children = self.content = 0
-        self.low = False
+        self.low = self.whole = False
 
 
 def walk(source: str) -> Iterator[tuple[str, object, list[Element]]]:
@@ -156,14 +157,21 @@ def nodes(source: str) -> tuple[int, dict[int, tuple[int, int]]]:
 
 
 def prune(e: Element, up: Element, low: frozenset[int]) -> None:
-    """Marks an element just opened as of low importance: never html, body, article, main and what these last two hold."""
-    if e.tag not in ("html", "body", "article", "main"):
-        e.low = (up.low or e.node in low) and not (e.article or e.main)
+    """Marks an element just opened as of low importance: no html, body, article or main, and within these last two, unless they are low themselves, blocks only."""
+    if e.tag in ("article", "main"):
+        e.whole = up.whole or e.node in low
+    elif e.tag not in ("html", "body"):
+        e.whole = up.whole
+        e.low = up.low or e.node in low and not e.whole and (e.tag in BLOCK or not (e.article or e.main))
 
 
 def main_text(source: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of a page's main text, one a line."""
-    found: dict[str, list[str]] = {"article": [], "main": [], "rest": []}
+    """The blocks of a page's main text, one a line.
+
+    Blocks in main and article elements are the main text; with articles alone and more text outside them than in
+    them, these are teasers, and all blocks are.
+    """
+    found: list[tuple[str, str]] = []
     parts: list[str] = []
     place = "rest"
 
@@ -171,12 +179,12 @@ def main_text(source: str | None, low: frozenset[int] = frozenset()) -> str:
         block = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if block:
-            found[place].append(block)
+            found.append((place, block))
 
     for event, what, stack in walk(source or ""):
         top = stack[-1]
         if event == "text":
-            here = "article" if top.article else "main" if top.main else "rest"
+            here = "main" if top.main else "article" if top.article else "rest"
             if here != place:
                 flush()
                 place = here
@@ -190,7 +198,11 @@ def main_text(source: str | None, low: frozenset[int] = frozenset()) -> str:
             elif what.tag == "br":
                 parts.append(" ")
     flush()
-    return "\n".join(found["article"] or found["main"] or found["rest"])
+    size = Counter()
+    for where, block in found:
+        size[where] += len(block)
+    inner = size["main"] or size["article"] >= size["rest"]
+    return "\n".join(block for where, block in found if where != "rest" or not inner)
 
 
 def host(url: str = "url"):

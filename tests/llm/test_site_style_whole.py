@@ -19,3 +19,17 @@ def test_articles_in_low_branches_stay():
     page = "<html><body><div class=a>Top <article><p>Story</p></article></div></body></html>"
     _, found = site_style.nodes(page)
     assert site_style.main_text(page, frozenset(found)) == "Story"
+
+
+def test_branches_that_repeat_below_articles_go(spark):
+    page = "<body><{0}><h1>Title {1}</h1><p>Story <b>of</b> {1}</p><div class=x7>Read more on our site</div></{0}></body>"
+    for tag in ("article", "main"):
+        found = texts(spark, [page.format(tag, k) for k in range(9)])
+        assert found == {k: f"Title {k}\nStory of {k}" for k in range(9)}
+
+
+def test_text_outside_a_teaser_stays():
+    t = site_style.main_text
+    assert t("<main><h1>Head</h1><p>Lead</p><article>teaser</article><p>Story</p></main>out") == "Head\nLead\nteaser\nStory"
+    assert t("<div><p>A long story of a page</p></div><article>teaser</article>") == "A long story of a page\nteaser"
+    assert t("<div>menu</div><article>A story in an article</article>") == "A story in an article"
