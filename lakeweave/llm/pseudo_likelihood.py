@@ -5,7 +5,7 @@ network sums one vector for each of the SIDE words before and after the masked o
 tanh and a softmax over the tokens. A document's score is the sum of log P(token | both sides) over its tokens.
 
 Word counts cover all words, pre-aggregated in the tasks. Training is by rounds of averaging: each task starts from the
-current network, learns from a fixed share of the positions of all its documents, and puts out its parameters as
+current network, learns from all positions of its documents (or in turn from one share of them a round), and puts out its parameters as
 integers with a weight; Spark sums them by parameter, so the driver gets one network whatever the number of tasks, and
 the sum doesn't depend on task order.
 """
@@ -26,7 +26,7 @@ LENGTHS, ENDINGS = 8, 2
 KNOWN = TOKENS - 1 - LENGTHS * ENDINGS
 HIDDEN = 24
 ROUNDS = 2
-SHARE = 16  # one position in so many trains
+SHARE = 1  # one position in so many trains in a round: all do in each
 BATCH = 512
 RATE = 0.4
 UNIT = 1 << 24
@@ -173,11 +173,11 @@ def _trained(held, number, share, batches):
 
 
 def train(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS, share: int = SHARE, seed: int = SEED) -> np.ndarray:
-    """The network after some rounds over all documents, each with another share of their positions."""
+    """The network after some rounds over all documents, each with the next share of their positions in turn."""
     p = start(seed)
     for r in range(rounds):
         held = docs.sparkSession.sparkContext.broadcast((p, known))
-        out = docs.mapInArrow(lambda batches, held=held, r=r: _trained(held, r, share, batches), "i int, v long")
+        out = docs.mapInArrow(lambda batches, held=held, r=r: _trained(held, r % share, share, batches), "i int, v long")
         sums = np.zeros(SIZE + 1)
         for row in out.groupBy("i").agg(F.sum("v").alias("v")).collect():
             sums[row["i"]] = row["v"]

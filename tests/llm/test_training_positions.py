@@ -1,0 +1,17 @@
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+
+from lakeweave.llm import pseudo_likelihood as p
+
+
+def test_every_position_trains_in_the_rounds_of_production():
+    text = " ".join(f"w{k % 50}" for k in range(40_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    held = SimpleNamespace(value=(p.start(), np.zeros(0, np.uint64)))
+    n = 0
+    for r in range(p.SHARE):
+        (out,) = p._trained(held, r, p.SHARE, [batch])
+        n += out.column(1)[p.SIZE].as_py() - 1
+    assert n == 40 and p.ROUNDS >= p.SHARE
