@@ -132,7 +132,7 @@ def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
     h, n = words.hashes, len(words.hashes)
     rolled = np.zeros(max(0, n - k + 1), U64)
     factor = 1
-    for i in range(k):
+    for i in range(k if len(rolled) else 0):
         factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
         rolled += h[i : n - k + 1 + i] * U64(factor)
     rolled = mix(rolled)
