@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 Both models are trained from labelled samples (string, is_secret): one on random strings, one on ordinary
-identifiers. A candidate run is a secret if its mean log-likelihood ratio per transition is above a threshold. The
+identifiers. A candidate run is a secret if the mean log-likelihood ratio per transition is above a threshold in it or
+in a part of it of the least length between separators, so that a name glued to a secret doesn't hide it. The
 samples default to a seeded generator for the random class and, for the ordinary class, generated identifiers and
 long words of a bounded sample of the documents themselves.
 """
@@ -29,8 +30,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_WORDS = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
 ASSIGN_LEAST = 12
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
+SEPARATORS = ALPHABET.index("+")  # the code of the first; those after it are separators too
 CODE = np.full(128, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 THRESHOLD = 0.35  # nats a transition
@@ -96,6 +99,19 @@ def ratio(table: np.ndarray, s: str) -> float:
     return float(table[np.concatenate(([len(ALPHABET) + 1], codes[:-1])), codes].mean()) if len(codes) else 0.0
 
 
+def best_part(table: np.ndarray, s: str, threshold: float) -> float:
+    """The greatest sum of the ratios above the threshold, over the run and its parts between separators of the least length."""
+    codes, start = encode(s), len(ALPHABET) + 1
+    if len(codes) < LEAST:
+        return -np.inf
+    total = np.concatenate(([0.0], np.cumsum(table[np.concatenate(([start], codes[:-1])), codes] - threshold)))
+    cut = codes >= SEPARATORS
+    begins = np.flatnonzero(np.concatenate(([True], cut[:-1])))
+    ends = np.flatnonzero(np.concatenate((cut, [True]))[LEAST:]) + LEAST
+    before = np.maximum.accumulate(table[start, codes[begins]] - threshold - total[begins + 1])
+    return float((total[ends] + before[np.searchsorted(begins, ends - LEAST, "right") - 1]).max())
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, in code points."""
     out = []
@@ -108,15 +124,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def markov_spans(text: str, base: list[tuple[int, int, int]], table: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    """Candidate runs outside the base spans that look random: they hold a digit or mixed case, and their ratio is high."""
+    """Candidate runs outside the base spans that look random as a whole or in a part."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if (s.islower() or s.isupper()) and not any(c.isdigit() for c in s):
-            continue
         if any(a < m.end() and b > m.start() for a, _, b in base):
             continue
-        if ratio(table, s) > threshold:
+        if best_part(table, m[0], threshold) > 0:
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -1,0 +1,16 @@
+import random
+import string
+
+from lakeweave.llm import secrets
+
+
+def test_glued_names_and_single_case_don_t_hide_secrets():
+    table = secrets.fit_ratio([(s, True) for s in secrets.random_strings(2000, 1)] + [(s, False) for s in secrets.identifiers(2000, 2)])
+    rng = random.Random(4)
+    hit = lambda s: secrets.markov_spans(f"see {s}.", [], table, secrets.THRESHOLD) == [(4, 3, 4 + len(s))]
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for name in ("", "AWS_SECRET_ACCESS_KEY=", "CLIENT_SECRET_VALUE=", "stripe_live_key_"):
+        assert sum(hit(name + key(string.ascii_letters + string.digits, 20)) for _ in range(200)) >= 196, name
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        assert sum(hit(key(letters, 32)) for _ in range(200)) >= 190
+    assert sum(hit(s) for s in secrets.identifiers(500, 9) if len(s) >= 20) <= 5
