@@ -55,12 +55,14 @@ def guarded_ratio(numerator: Column, denominator: Column, otherwise: float | Non
     return found if otherwise is None else found.otherwise(F.lit(otherwise))
 
 
-NUDGE = {0: 1e-6, 1: 1e-6, 2: 1e-7, 4: 1e-9}
+def rounded(c: Column, digits: int = 2) -> Column:
+    """A double rounded half away from zero as the decimal that it stands for: eight digits first, so that noise of binary fractions can't tip a half."""
+    return F.round(c.cast("decimal(30,8)"), digits).cast("double")
 
 
-def rounded(c: Column, digits: int = 2) -> Column:
-    """A double rounded after a nudge far below the last digit, so that exact halves round up on every engine."""
-    return F.round(c.cast("double") + NUDGE[digits], digits)
+def percent(part: Column, whole: Column, digits: int = 2, otherwise: float | None = None) -> Column:
+    """part / whole x 100, rounded; null or a constant where the whole isn't positive."""
+    return rounded(guarded_ratio(part.cast("double") * 100, whole.cast("double"), otherwise), digits)
 
 
 def money(c: str | Column) -> Column:

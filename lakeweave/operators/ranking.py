@@ -1,7 +1,7 @@
 """Positions, tiles and running totals over a whole table without bringing it into one task.
 
-Rows are dealt by range of the order, numbered within each range, and shifted by what the ranges before hold; that
-summary has one row per range. The order must be total, so append a key to it.
+Rows are dealt by range of the order and written, so that every use sees the same ranges; they are numbered within each
+range, and shifted by what the ranges before hold: a summary of one row per range. The order must be total, so append a key to it.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.sources.scratch import written
+
 
 def numbered(df: DataFrame, order: list[Column], name: str = "posicao", running: dict[str, str] | None = None) -> DataFrame:
     """With the global position by the order, the number of rows, and running totals of columns (running: column -> name) with their ends."""
     running = running or {}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).persist()
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = {f"_sum_{c}": F.sum(c) for c in running}
     by_range = dealt.groupBy("_range").agg(F.count("*").alias("_rows"), *(v.alias(k) for k, v in sums.items()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -28,6 +30,19 @@ def numbered(df: DataFrame, order: list[Column], name: str = "posicao", running:
     return out.select(*df.columns, name, f"{name}_total", *(x for alias in running.values() for x in (alias, f"{alias}_total")))
 
 
+def tied(placed: DataFrame, value: str, position: str, running: str | None = None) -> DataFrame:
+    """With the first and the last position of each row's equals in a column that leads the order, and the running total up to the last of them.
+
+    Names are position_first, position_last and position_sum. What equals share is one pre-aggregated row a value, so a
+    value that most rows have is no group in any task.
+    """
+    same = {f"{position}_first": F.min(position), f"{position}_last": F.max(position)}
+    if running:
+        same[f"{position}_sum"] = F.max_by(running, position)
+    of_value = placed.groupBy(F.col(value).alias("_value")).agg(*(v.alias(k) for k, v in same.items()))
+    return placed.join(of_value, F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
+
+
 def tile(position: Column, total: Column, n: int) -> Column:
     """NTILE(n) from a position: the first total % n tiles have one row more."""
     size, more = F.floor(total / n), total % n

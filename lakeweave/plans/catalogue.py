@@ -6,7 +6,6 @@ line, a card a customer whose orders are its change feed, a risk event an event
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +17,7 @@ from lakeweave.operators import history, joins, ordering, quality
 from lakeweave.operators.history import Versioning
 from lakeweave.operators.quality import Rule
 from lakeweave.plans import insight, marts
+from lakeweave.sources.scratch import application_dir
 from lakeweave.sources.store import SnapshotTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,14 +60,22 @@ def sales(spark, sf):
     return d.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id_transacao"), F.col("l_suppkey").alias("id_cartao"), F.col("o_custkey").alias("id_cliente"), F.col("l_shipdate").alias("data_transacao"), F.col("l_shipdate").cast("date").alias("data_particao"), month_of("l_shipdate").alias("ano_mes"),
         gross.alias("valor_bruto"), back.alias("valor_estornado"), money(gross - back).alias("valor_liquido"), (F.col("l_returnflag") == "R").alias("foi_estornada"), F.col("p_size").alias("mcc"), F.concat(F.lit("LOJA "), F.col("l_suppkey").cast("string")).alias("estabelecimento"),
-        F.when(F.col("l_linestatus") == "O", "ECOMMERCE").otherwise("POS").alias("canal"), F.when(F.col("n_regionkey") == 1, "BR").otherwise("US").alias("pais"), F.col("c_mktsegment").alias("segmento_na_data"), F.col("n_name").alias("cidade_na_data"), (F.col("o_orderstatus") != "P").alias("elegivel_metrica"),
+        F.when(F.col("l_linestatus") == "O", "ECOMMERCE").otherwise("POS").alias("canal"), F.when(F.col("n_regionkey") == 1, "BR").otherwise("US").alias("pais"), F.col("c_mktsegment").alias("segmento_na_data"), F.col("n_name").alias("cidade_na_data"), F.substring("n_name", 1, 2).alias("estado_na_data"), (F.col("o_orderstatus") != "P").alias("elegivel_metrica"),
     )
 
 
-SALES_SQL = LINES_SQL + """, sales AS (SELECT l_orderkey * 10 + l_linenumber AS id_transacao, l_suppkey AS id_cartao, o_custkey AS id_cliente, l_shipdate AS data_transacao, l_shipdate::date AS data_particao, strftime(l_shipdate, '%Y-%m') AS ano_mes,
- l_extendedprice::decimal(18,2) AS valor_bruto, CASE WHEN l_returnflag = 'R' THEN l_extendedprice::decimal(18,2) ELSE 0::decimal(18,2) END AS valor_estornado, CASE WHEN l_returnflag = 'R' THEN 0::decimal(18,2) ELSE l_extendedprice::decimal(18,2) END AS valor_liquido, l_returnflag = 'R' AS foi_estornada,
- p_size AS mcc, 'LOJA ' || l_suppkey::varchar AS estabelecimento, CASE WHEN l_linestatus = 'O' THEN 'ECOMMERCE' ELSE 'POS' END AS canal, CASE WHEN n_regionkey = 1 THEN 'BR' ELSE 'US' END AS pais, c_mktsegment AS segmento_na_data, n_name AS cidade_na_data, o_orderstatus <> 'P' AS elegivel_metrica
- FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
+SALES_SQL = LINES_SQL + """,
+sales AS (
+  SELECT l_orderkey * 10 + l_linenumber AS id_transacao, l_suppkey AS id_cartao, o_custkey AS id_cliente, l_shipdate AS data_transacao,
+    l_shipdate::date AS data_particao, strftime(l_shipdate, '%Y-%m') AS ano_mes, l_extendedprice::decimal(18,2) AS valor_bruto,
+    CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END::decimal(18,2) AS valor_estornado,
+    CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_extendedprice END::decimal(18,2) AS valor_liquido,
+    l_returnflag = 'R' AS foi_estornada, p_size AS mcc, 'LOJA ' || l_suppkey::varchar AS estabelecimento,
+    CASE WHEN l_linestatus = 'O' THEN 'ECOMMERCE' ELSE 'POS' END AS canal, CASE WHEN n_regionkey = 1 THEN 'BR' ELSE 'US' END AS pais,
+    c_mktsegment AS segmento_na_data, n_name AS cidade_na_data, left(n_name, 2) AS estado_na_data, o_orderstatus <> 'P' AS elegivel_metrica
+  FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    JOIN part ON l_partkey = p_partkey
+)"""
 
 CARD = Versioning(("id_cartao",), "data_atualizacao", ("status_cartao", "tipo_cartao"), "operacao")
 
@@ -111,20 +119,27 @@ REASONS_SQL = "list_filter([CASE WHEN NOT coalesce(c_acctbal >= 0, false) THEN '
 
 
 def r2(x: str, digits: int = 2) -> str:
-    return f"round(({x})::double + {({0: 1e-6, 1: 1e-6, 2: 1e-7, 4: 1e-9})[digits]}, {digits})"
+    """Rounded half away from zero as a decimal."""
+    return f"round(({x})::double::decimal(30,8), {digits})::double"
 
 
 def over(value: str, base: str) -> str:
-    return f"CASE WHEN {base} > 0 THEN {r2(f'({value} - {base}) * 100.0 / {base}')} END"
+    return f"CASE WHEN {base} > 0 THEN {r2(f'({value} - {base}) * 100.0::double / {base}')} END"
 
 
-def mean_money(x: str) -> str:
-    return f"(((2 * (sum({x}) * 100)::hugeint + count({x})) // (2 * count({x})))::decimal(38,0) / 100)::decimal(18,2)"
+def pct(part: str, whole: str, digits: int = 2, otherwise: str = "NULL") -> str:
+    """part / whole x 100, rounded, where the whole is positive."""
+    return f"CASE WHEN {whole} > 0 THEN {r2(f'({part})::double * 100::double / ({whole})::double', digits)} ELSE {otherwise} END"
+
+
+def mean(x: str, kind: str = "decimal(22,6)") -> str:
+    """The exact mean of amounts in cents, rounded to six digits."""
+    total = f"(sum({x}) * 100)::hugeint"
+    return f"(sign({total}) * ((2 * abs({total}) * 10000 + count({x})) // (2 * count({x})))::double / 1000000)::{kind}"
 
 
 def store(spark, name) -> SnapshotTable:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return SnapshotTable(spark, f"{folder}/lakeweave-store/{name}-{uuid.uuid4().hex}")
+    return SnapshotTable(spark, f"{application_dir(spark)}/store/{name}-{uuid.uuid4().hex}")
 
 
 # Columns and rows.
@@ -248,13 +263,14 @@ def dedup_latest(spark, sf):
     return lines(spark, sf).select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice")
 
 
-@registered("SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderdate >= TIMESTAMP '1999-01-01'")
+@registered("SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def upsert_latest(spark, sf):
+    """All orders; those since 1999 come as changes, half of them of known keys."""
     o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    new = o.where("o_orderdate >= timestamp_ntz'1999-01-01'").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+    recent = "o_orderdate >= timestamp_ntz'1999-01-01'"
     t = store(spark, "upsert")
-    t.replace(o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"))
-    t.upsert(new, ["o_orderkey"])
+    t.replace(o.where(f"o_orderkey % 2 = 0 OR NOT {recent}").select("o_orderkey", "o_orderstatus"))
+    t.upsert(o.where(recent).select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"])
     return t.read()
 
 
@@ -339,11 +355,24 @@ def current_dims(spark, sf):
     return marts.current_dimension(cards(spark, sf), ["id_cartao", "status_cartao", "tipo_cartao"])
 
 
-@registered(f"""WITH {timeline_sql()} SELECT id_cartao, row_number() OVER w AS versao, dw_inicio_vigencia, dw_fim_vigencia, dw_versao_ativa, dw_excluido, status_cartao, tipo_cartao, CASE WHEN status_cartao IS DISTINCT FROM lag(status_cartao) OVER w THEN 'SIM' ELSE 'NAO' END AS mudou_status_cartao, CASE WHEN tipo_cartao IS DISTINCT FROM lag(tipo_cartao) OVER w THEN 'SIM' ELSE 'NAO' END AS mudou_tipo_cartao,
-datediff('day', dw_inicio_vigencia::date, coalesce(dw_fim_vigencia::date, DATE '{REFERENCE}')) AS dias_de_vigencia, min(dw_inicio_vigencia) OVER (PARTITION BY id_cartao) AS primeira_vigencia, last_value(status_cartao) OVER a AS status_cartao_atual, last_value(tipo_cartao) OVER a AS tipo_cartao_atual, CASE WHEN dw_fim_vigencia IS DISTINCT FROM lead(dw_inicio_vigencia) OVER w THEN 'INCONSISTENTE' ELSE 'OK' END AS consistencia
-FROM tl WINDOW w AS (PARTITION BY id_cartao ORDER BY dw_inicio_vigencia), a AS (PARTITION BY id_cartao ORDER BY dw_inicio_vigencia ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+@registered(f"""
+WITH {timeline_sql()},
+priced AS (SELECT *, (id_cartao % 50 + 100 * (1 + month(dw_inicio_vigencia) % 5))::decimal(18,2) AS renda FROM tl)
+SELECT id_cartao, dw_inicio_vigencia, dw_fim_vigencia, dw_versao_ativa, dw_excluido, status_cartao, tipo_cartao, renda,
+  row_number() OVER w AS versao,
+  datediff('day', dw_inicio_vigencia::date, coalesce(dw_fim_vigencia::date, DATE '{REFERENCE}')) AS dias_de_vigencia,
+  first_value(dw_inicio_vigencia) OVER w AS primeira_vigencia, lead(dw_inicio_vigencia) OVER w AS inicio_da_proxima,
+  lag(status_cartao) OVER w AS status_cartao_anterior, lag(tipo_cartao) OVER w AS tipo_cartao_anterior,
+  CASE WHEN status_cartao IS DISTINCT FROM lag(status_cartao) OVER w THEN 'SIM' ELSE 'NAO' END AS mudou_status_cartao,
+  CASE WHEN tipo_cartao IS DISTINCT FROM lag(tipo_cartao) OVER w THEN 'SIM' ELSE 'NAO' END AS mudou_tipo_cartao,
+  last_value(status_cartao) OVER a AS status_cartao_atual, last_value(tipo_cartao) OVER a AS tipo_cartao_atual,
+  CASE WHEN lag(renda) OVER w > 0 THEN {r2('(renda - lag(renda) OVER w)::double * 100.0::double / (lag(renda) OVER w)::double')} END AS variacao_renda_pct,
+  CASE WHEN dw_fim_vigencia IS DISTINCT FROM lead(dw_inicio_vigencia) OVER w THEN 'INCONSISTENTE' ELSE 'OK' END AS consistencia_da_linha_do_tempo
+FROM priced
+WINDOW w AS (PARTITION BY id_cartao ORDER BY dw_inicio_vigencia), a AS (PARTITION BY id_cartao ORDER BY dw_inicio_vigencia ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def timeline_diff(spark, sf):
-    return insight.timeline_report(cards(spark, sf), "id_cartao", ("status_cartao", "tipo_cartao"), REFERENCE)
+    income = (F.col("id_cartao") % 50 + 100 * (1 + F.month(history.START) % 5)).cast("decimal(18,2)")
+    return insight.timeline_report(cards(spark, sf).withColumn("renda", income), "id_cartao", ("status_cartao", "tipo_cartao"), REFERENCE, ("renda",))
 
 
 @registered(f"""WITH {timeline_sql()} SELECT id_cartao, dw_inicio_vigencia, (row_number() OVER w)::bigint AS numero_versao, row_number() OVER w > 1 AND status_cartao IS DISTINCT FROM lag(status_cartao) OVER w AS mudou_status_cartao, row_number() OVER w = 1 OR lag(dw_fim_vigencia) OVER w IS NOT DISTINCT FROM dw_inicio_vigencia AS consistente FROM tl WINDOW w AS (PARTITION BY id_cartao ORDER BY dw_inicio_vigencia)""")
@@ -406,7 +435,7 @@ REFUND_SQL = LINES_SQL + ", refunds AS (SELECT l_orderkey AS id_transacao, sum(l
 
 @registered(f"WITH {REFUND_SQL} SELECT id_transacao, total AS valor_estornado, qtd AS qtd_estornos, ultimo AS data_ultimo_estorno, motivo AS motivo_estorno FROM refunds")
 def refund_rollup(spark, sf):
-    return marts.refunds_by_transaction(refunds(spark, sf)).withColumnRenamed("_refunded", "valor_estornado")
+    return marts.refunds_by_transaction(refunds(spark, sf)).withColumnsRenamed({"_refunded": "valor_estornado", "_refunds": "qtd_estornos"})
 
 
 def transactions(spark, sf):
@@ -434,12 +463,28 @@ def fact(spark, sf):
     return marts.enriched_fact(transactions(spark, sf), refunds(spark, sf), dims, accounts(spark, sf), clients(spark, sf))
 
 
-FACT_SQL = REFUND_SQL + ", " + timeline_sql() + """, fact AS (SELECT o_orderkey AS id_transacao, o_custkey AS id_cartao, t.id_cartao AS id_conta, c_custkey AS id_cliente, o_orderdate + INTERVAL 12 HOUR AS data_transacao, o_orderdate::date AS data_particao, year(o_orderdate)::integer AS ano, month(o_orderdate)::integer AS mes, strftime(o_orderdate, '%Y-%m') AS ano_mes,
- (o_totalprice * 10)::decimal(18,2) AS valor_bruto, coalesce(total, 0)::decimal(18,2) AS valor_estornado, ((o_totalprice * 10)::decimal(18,2) - coalesce(total, 0))::decimal(18,2) AS valor_liquido, coalesce(total, 0) > 0 AS foi_estornada, coalesce(total, 0) >= (o_totalprice * 10)::decimal(18,2) AS estorno_total, coalesce(qtd, 0) AS qtd_estornos, motivo AS motivo_estorno,
- t.tipo_cartao, CASE WHEN t.id_cartao IS NULL THEN NULL WHEN t.status_cartao = 'P' THEN 'CANCELADO' ELSE 'ATIVO' END AS status_cartao_na_data, CASE WHEN c_custkey IS NULL THEN NULL WHEN c_acctbal >= 0 THEN 'ATIVA' ELSE 'BLOQUEADA' END AS status_conta_na_data, c_mktsegment AS segmento_na_data, n_name AS cidade_na_data,
- coalesce(t.status_cartao <> 'P' AND c_acctbal >= 0, false) AS elegivel_metrica
- FROM orders LEFT JOIN refunds r ON r.id_transacao = o_orderkey LEFT JOIN tl t ON t.id_cartao = o_custkey AND t.dw_inicio_vigencia <= o_orderdate + INTERVAL 12 HOUR AND (t.dw_fim_vigencia IS NULL OR t.dw_fim_vigencia > o_orderdate + INTERVAL 12 HOUR) LEFT JOIN customer ON c_custkey = t.id_cartao LEFT JOIN nation ON n_nationkey = c_nationkey)"""
-FACT_COLUMNS = "id_transacao id_cartao id_conta id_cliente data_transacao data_particao ano mes ano_mes valor_bruto valor_estornado valor_liquido foi_estornada estorno_total qtd_estornos motivo_estorno tipo_cartao status_cartao_na_data status_conta_na_data segmento_na_data cidade_na_data elegivel_metrica".split()
+FACT_SQL = REFUND_SQL + ", " + timeline_sql() + """,
+fact AS (
+  SELECT o_orderkey AS id_transacao, o_custkey AS id_cartao, t.id_cartao AS id_conta, c_custkey AS id_cliente,
+    o_orderdate + INTERVAL 12 HOUR AS data_transacao, o_orderdate::date AS data_particao,
+    year(o_orderdate)::integer AS ano, month(o_orderdate)::integer AS mes, strftime(o_orderdate, '%Y-%m') AS ano_mes,
+    (o_totalprice * 10)::decimal(18,2) AS valor_bruto, coalesce(total, 0)::decimal(18,2) AS valor_estornado,
+    ((o_totalprice * 10)::decimal(18,2) - coalesce(total, 0))::decimal(18,2) AS valor_liquido,
+    coalesce(qtd, 0) > 0 AS foi_estornada, coalesce(total, 0) >= (o_totalprice * 10)::decimal(18,2) AS estorno_total,
+    coalesce(qtd, 0) AS qtd_estornos, motivo AS motivo_estorno, o_orderpriority AS canal, t.tipo_cartao,
+    CASE WHEN t.id_cartao IS NULL THEN NULL WHEN t.status_cartao = 'P' THEN 'CANCELADO' ELSE 'ATIVO' END AS status_cartao_na_data,
+    CASE WHEN c_custkey IS NOT NULL THEN 'CORRENTE' END AS tipo_conta,
+    CASE WHEN c_custkey IS NULL THEN NULL WHEN c_acctbal >= 0 THEN 'ATIVA' ELSE 'BLOQUEADA' END AS status_conta_na_data,
+    c_mktsegment AS segmento_na_data, n_name AS cidade_na_data, left(n_name, 2) AS estado_na_data, c_acctbal::decimal(18,2) AS renda_na_data,
+    coalesce(t.status_cartao <> 'P' AND c_acctbal >= 0, false) AS elegivel_metrica
+  FROM orders LEFT JOIN refunds r ON r.id_transacao = o_orderkey
+    LEFT JOIN tl t ON t.id_cartao = o_custkey AND t.dw_inicio_vigencia <= o_orderdate + INTERVAL 12 HOUR
+      AND (t.dw_fim_vigencia IS NULL OR t.dw_fim_vigencia > o_orderdate + INTERVAL 12 HOUR)
+    LEFT JOIN customer ON c_custkey = t.id_cartao LEFT JOIN nation ON n_nationkey = c_nationkey
+)"""
+FACT_COLUMNS = """id_transacao id_cartao id_conta id_cliente data_transacao data_particao ano mes ano_mes valor_bruto valor_estornado valor_liquido
+foi_estornada estorno_total qtd_estornos motivo_estorno canal tipo_cartao status_cartao_na_data tipo_conta status_conta_na_data segmento_na_data
+cidade_na_data estado_na_data renda_na_data elegivel_metrica""".split()
 
 
 @registered(f"WITH {FACT_SQL} SELECT {', '.join(FACT_COLUMNS)} FROM fact")
@@ -458,10 +503,21 @@ def temporal_chain(spark, sf):
     return fact(spark, sf).select("id_transacao", "tipo_cartao", "status_conta_na_data", "segmento_na_data", "cidade_na_data")
 
 
-@registered(f"""WITH {SALES_SQL}, m AS (SELECT id_cliente, ano_mes, count(*) AS qtd_transacoes, sum(valor_liquido)::decimal(18,2) AS valor_liquido_total, sum(valor_bruto)::decimal(18,2) AS valor_bruto_total, sum(valor_estornado)::decimal(18,2) AS valor_estornado_total, {mean_money('valor_liquido')} AS ticket_medio, max(valor_liquido) AS maior_transacao, min(valor_liquido) AS menor_transacao, quantile_disc(valor_liquido, 0.5) AS mediana_transacao, {r2('stddev(valor_liquido::double)')} AS desvio_padrao_valor,
- count(DISTINCT data_particao) AS dias_com_transacao, count(DISTINCT id_cartao) AS qtd_cartoes_usados, count(DISTINCT estabelecimento) AS qtd_estabelecimentos, count(DISTINCT mcc) AS qtd_categorias_mcc, count(DISTINCT canal) AS qtd_canais, count(*) FILTER (WHERE foi_estornada) AS qtd_transacoes_estornadas, count(*) FILTER (WHERE pais <> 'BR') AS qtd_transacoes_exterior, coalesce(sum(valor_liquido) FILTER (WHERE canal = 'ECOMMERCE'), 0)::decimal(18,2) AS valor_ecommerce, max(data_transacao) AS ultima_transacao, min(data_transacao) AS primeira_transacao
- FROM sales WHERE elegivel_metrica GROUP BY id_cliente, ano_mes)
-SELECT m.*, c_mktsegment AS segmento, n_name AS cidade, left(n_name, 2) AS estado, c_acctbal::decimal(18,2) AS renda, CASE WHEN valor_bruto_total > 0 THEN {r2('valor_estornado_total::double * 100 / valor_bruto_total::double', 4)} ELSE {r2('0.0', 4)} END AS percentual_estornado, CASE WHEN c_acctbal::decimal(18,2) > 0 THEN {r2('valor_liquido_total::double / c_acctbal::decimal(18,2)::double', 4)} END AS comprometimento_renda FROM m JOIN customer ON c_custkey = id_cliente JOIN nation ON c_nationkey = n_nationkey""")
+@registered(f"""
+WITH {SALES_SQL},
+m AS (
+  SELECT id_cliente, ano_mes, count(*) AS qtd_transacoes, sum(valor_liquido)::decimal(28,2) AS valor_liquido_total, sum(valor_bruto)::decimal(28,2) AS valor_bruto_total,
+    sum(valor_estornado)::decimal(28,2) AS valor_estornado_total, {mean('valor_liquido')} AS ticket_medio, max(valor_liquido) AS maior_transacao,
+    min(valor_liquido) AS menor_transacao, quantile_disc(valor_liquido, 0.5) AS mediana_transacao, {r2('stddev(valor_liquido::double)')} AS desvio_padrao_valor,
+    count(DISTINCT data_particao) AS dias_com_transacao, count(DISTINCT id_cartao) AS qtd_cartoes_usados, count(DISTINCT estabelecimento) AS qtd_estabelecimentos,
+    count(DISTINCT mcc) AS qtd_categorias_mcc, count(DISTINCT canal) AS qtd_canais, count(*) FILTER (WHERE foi_estornada) AS qtd_transacoes_estornadas,
+    count(*) FILTER (WHERE pais <> 'BR') AS qtd_transacoes_exterior, sum(CASE WHEN canal = 'ECOMMERCE' THEN valor_liquido ELSE 0 END)::decimal(28,2) AS valor_ecommerce,
+    max(data_transacao) AS ultima_transacao, min(data_transacao) AS primeira_transacao
+  FROM sales WHERE elegivel_metrica GROUP BY id_cliente, ano_mes)
+SELECT m.*, c_mktsegment AS segmento, n_name AS cidade, left(n_name, 2) AS estado, c_acctbal::decimal(18,2) AS renda,
+  {pct('valor_estornado_total', 'valor_bruto_total', 2, '0.0')} AS percentual_estornado,
+  {pct('valor_liquido_total', 'c_acctbal::decimal(18,2)', 2)} AS comprometimento_renda
+FROM m JOIN customer ON c_custkey = id_cliente JOIN nation ON c_nationkey = n_nationkey""")
 def customer_month(spark, sf):
     return marts.client_month(sales(spark, sf), clients(spark, sf)).withColumn("desvio_padrao_valor", rounded(F.col("desvio_padrao_valor")))
 
@@ -473,9 +529,19 @@ def risk_events(spark, sf):
     return read(spark, sf, "events").select(F.col("event_id").alias("id_evento"), (F.col("event_id") * 10 + F.col("user_id") % 7 + 1).alias("id_transacao"), kind.alias("tipo_evento"), level.alias("severidade"), F.col("ts").cast("date").alias("data_evento"))
 
 
-@registered(f"""WITH {SALES_SQL}, risk AS (SELECT event_id * 10 + user_id % 7 + 1 AS id, count(*) AS n, max(user_id % 4 + 1) AS nivel, bool_or(event_type = 'error') AS fraude, bool_or(event_type = 'purchase') AS cb FROM events GROUP BY 1)
-SELECT data_particao, count(*) AS qtd_transacoes, sum(valor_bruto)::decimal(18,2) AS valor_bruto_total, sum(valor_liquido)::decimal(18,2) AS valor_liquido_total, count(*) FILTER (WHERE n > 0) AS qtd_com_evento_risco, count(*) FILTER (WHERE fraude) AS qtd_fraude_confirmada, count(*) FILTER (WHERE cb) AS qtd_chargeback, count(*) FILTER (WHERE nivel >= 3) AS qtd_severidade_alta, count(*) FILTER (WHERE foi_estornada) AS qtd_estornadas, sum(valor_estornado)::decimal(18,2) AS valor_estornado_total, coalesce(sum(valor_bruto) FILTER (WHERE fraude), 0)::decimal(18,2) AS valor_em_fraude, count(DISTINCT id_cliente) AS qtd_clientes_distintos,
-{r2('count(*) FILTER (WHERE n > 0) * 100.0::double / count(*)', 4)} AS taxa_risco_pct, {r2('count(*) FILTER (WHERE foi_estornada) * 100.0::double / count(*)', 4)} AS taxa_estorno_pct, {r2('count(*) FILTER (WHERE cb) * 100.0::double / count(*)', 4)} AS taxa_chargeback_pct FROM sales LEFT JOIN risk ON id = id_transacao GROUP BY data_particao""")
+@registered(f"""
+WITH {SALES_SQL},
+risk AS (
+  SELECT event_id * 10 + user_id % 7 + 1 AS id, count(*) AS n, max(user_id % 4 + 1) AS nivel, bool_or(event_type = 'error') AS fraude, bool_or(event_type = 'purchase') AS cb
+  FROM events GROUP BY 1),
+d AS (
+  SELECT data_particao, count(*) AS qtd_transacoes, sum(valor_bruto)::decimal(28,2) AS valor_bruto_total, sum(valor_liquido)::decimal(28,2) AS valor_liquido_total,
+    count(n) AS qtd_com_evento_risco, count(*) FILTER (WHERE fraude) AS qtd_fraude_confirmada, count(*) FILTER (WHERE cb) AS qtd_chargeback,
+    count(*) FILTER (WHERE nivel >= 3) AS qtd_severidade_alta, count(*) FILTER (WHERE foi_estornada) AS qtd_estornadas, sum(valor_estornado)::decimal(28,2) AS valor_estornado_total,
+    sum(CASE WHEN fraude THEN valor_bruto ELSE 0 END)::decimal(28,2) AS valor_em_fraude, count(DISTINCT id_cliente) AS qtd_clientes_distintos
+  FROM sales LEFT JOIN risk ON id = id_transacao GROUP BY data_particao)
+SELECT *, {pct('qtd_com_evento_risco', 'qtd_transacoes', 4)} AS taxa_risco_pct, {pct('qtd_estornadas', 'qtd_transacoes', 4)} AS taxa_estorno_pct,
+  {pct('qtd_chargeback', 'qtd_transacoes', 4)} AS taxa_chargeback_pct FROM d""")
 def risk_daily(spark, sf):
     return marts.risk_by_day(sales(spark, sf), risk_events(spark, sf))
 
@@ -483,17 +549,47 @@ def risk_daily(spark, sf):
 FEATURES_AT = "2001-06-30"
 
 
-@registered(f"""WITH {SALES_SQL}, t AS (SELECT id_cliente, count(*) AS n, sum(valor_liquido)::decimal(18,2) AS v, {mean_money('valor_liquido')} AS ticket, max(valor_liquido) AS maior, quantile_disc(valor_liquido, 0.5) AS mediana, count(DISTINCT data_particao) AS dias, count(DISTINCT mcc) AS categorias, count(*) FILTER (WHERE foi_estornada) AS estornadas, count(*) FILTER (WHERE data_particao >= DATE '{FEATURES_AT}' - 30) AS n30, (sum(valor_liquido) FILTER (WHERE data_particao >= DATE '{FEATURES_AT}' - 30))::decimal(18,2) AS v30, sum(valor_liquido) FILTER (WHERE canal = 'ECOMMERCE') AS online, max(data_particao) AS ultimo, min(data_particao) AS primeiro FROM sales WHERE elegivel_metrica GROUP BY 1),
-m AS (SELECT id_cliente, ano_mes, sum(valor_liquido)::decimal(18,2) AS v FROM sales WHERE elegivel_metrica GROUP BY 1, 2), g AS (SELECT id_cliente, v, lag(v) OVER (PARTITION BY id_cliente ORDER BY ano_mes) AS antes FROM m), tr AS (SELECT id_cliente, avg(CASE WHEN antes > 0 THEN (v - antes)::double / antes::double END) AS variacao, count(*) AS meses, {mean_money('v')} AS mensal FROM g GROUP BY 1)
-SELECT c_custkey AS id_cliente, coalesce(n, 0) AS f_qtd_transacoes_total, v AS f_valor_liquido_total, ticket AS f_ticket_medio, maior AS f_maior_transacao, mediana AS f_mediana_transacao, coalesce(dias, 0) AS f_dias_ativos, categorias AS f_qtd_categorias, coalesce(estornadas, 0) AS f_qtd_estornadas, coalesce(n30, 0) AS f_qtd_transacoes_30d, v30 AS f_valor_30d, {r2('variacao')} AS f_variacao_media_mensal, coalesce(meses, 0) AS f_qtd_meses_ativos, mensal AS f_valor_medio_mensal, datediff('day', ultimo, DATE '{FEATURES_AT}') AS f_recencia_dias, datediff('day', primeiro, DATE '{FEATURES_AT}') AS f_tempo_base_dias, CASE WHEN v > 0 THEN {r2('coalesce(online, 0)::double * 100 / v::double', 4)} ELSE {r2('0.0', 4)} END AS f_perc_ecommerce FROM customer LEFT JOIN t ON t.id_cliente = c_custkey LEFT JOIN tr ON tr.id_cliente = c_custkey""")
+@registered(f"""
+WITH {SALES_SQL},
+eligible AS (SELECT *, data_particao >= DATE '{FEATURES_AT}' - 30 AS recent FROM sales WHERE elegivel_metrica),
+t AS (
+  SELECT id_cliente, count(*) AS f_qtd_transacoes_total, sum(valor_liquido)::decimal(28,2) AS f_valor_liquido_total, {mean('valor_liquido')} AS f_ticket_medio,
+    {r2('stddev(valor_liquido::double)')} AS f_desvio_ticket, max(valor_liquido) AS f_maior_transacao, quantile_disc(valor_liquido, 0.5) AS f_mediana_transacao,
+    count(DISTINCT data_particao) AS f_dias_ativos, count(DISTINCT id_cartao) AS f_qtd_cartoes, count(DISTINCT mcc) AS f_qtd_categorias,
+    count(DISTINCT estabelecimento) AS f_qtd_estabelecimentos, count(*) FILTER (WHERE pais <> 'BR') AS exterior, count(*) FILTER (WHERE foi_estornada) AS estornadas,
+    count(*) FILTER (WHERE recent) AS n30, (sum(valor_liquido) FILTER (WHERE recent))::decimal(28,2) AS f_valor_30d,
+    count(*) FILTER (WHERE canal = 'ECOMMERCE') AS online, min(data_particao) AS primeira, max(data_particao) AS ultima
+  FROM eligible GROUP BY id_cliente),
+m AS (SELECT id_cliente, ano_mes, sum(valor_liquido)::decimal(28,2) AS v FROM eligible GROUP BY 1, 2),
+g AS (SELECT id_cliente, v, lag(v) OVER (PARTITION BY id_cliente ORDER BY ano_mes) AS antes FROM m),
+tr AS (
+  SELECT id_cliente, avg(CASE WHEN antes > 0 THEN (v::double - antes::double) / antes::double END) AS variacao, count(*) AS meses, {mean('v', 'decimal(32,6)')} AS f_valor_medio_mensal
+  FROM g GROUP BY 1)
+SELECT c_custkey AS id_cliente, c_mktsegment AS segmento, n_name AS cidade, left(n_name, 2) AS estado, c_acctbal::decimal(18,2) AS renda,
+  coalesce(f_qtd_transacoes_total, 0) AS f_qtd_transacoes_total, f_valor_liquido_total, f_ticket_medio, f_desvio_ticket, f_maior_transacao, f_mediana_transacao,
+  f_dias_ativos, f_qtd_cartoes, f_qtd_categorias, f_qtd_estabelecimentos, coalesce(exterior, 0) AS f_qtd_exterior, coalesce(estornadas, 0) AS f_qtd_estornadas,
+  coalesce(n30, 0) AS f_qtd_transacoes_30d, f_valor_30d, {r2('variacao', 6)} AS f_variacao_media_mensal, coalesce(meses, 0) AS f_qtd_meses_ativos, f_valor_medio_mensal,
+  datediff('day', ultima, DATE '{FEATURES_AT}') AS f_recencia_dias, datediff('day', primeira, DATE '{FEATURES_AT}') AS f_tempo_base_dias,
+  CASE WHEN datediff('day', primeira, DATE '{FEATURES_AT}') > 0
+    THEN {r2("f_qtd_transacoes_total / (datediff('day', primeira, DATE '" + FEATURES_AT + "') / 30.0::double)", 6)} END AS f_frequencia_mensal,
+  CASE WHEN f_qtd_transacoes_total > 0 THEN {r2('online::double / f_qtd_transacoes_total', 6)} ELSE 0.0 END AS f_perc_ecommerce,
+  CASE WHEN c_acctbal::decimal(18,2) > 0 THEN {r2('f_valor_medio_mensal::double / c_acctbal::decimal(18,2)::double', 6)} END AS f_comprometimento_renda,
+  DATE '{FEATURES_AT}' AS f_data_referencia
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN t ON t.id_cliente = c_custkey LEFT JOIN tr ON tr.id_cliente = c_custkey""")
 def customer_features(spark, sf):
     s, c = sales(spark, sf), clients(spark, sf)
     out = marts.client_features(marts.client_month(s, c), s, c, FEATURES_AT)
-    names = "id_cliente f_qtd_transacoes_total f_valor_liquido_total f_ticket_medio f_maior_transacao f_mediana_transacao f_dias_ativos f_qtd_categorias f_qtd_estornadas f_qtd_transacoes_30d f_valor_30d f_qtd_meses_ativos f_valor_medio_mensal f_perc_ecommerce".split()
-    return out.select(*names, rounded(F.col("f_variacao_media_mensal")).alias("f_variacao_media_mensal"), F.col("f_recencia_dias").cast("long").alias("f_recencia_dias"), F.col("f_tempo_base_dias").cast("long").alias("f_tempo_base_dias"))
+    ratios = {k: rounded(F.col(k), 6) for k in ("f_variacao_media_mensal", "f_frequencia_mensal", "f_perc_ecommerce", "f_comprometimento_renda")}
+    return out.withColumns(ratios | {"f_desvio_ticket": rounded(F.col("f_desvio_ticket"))} | {k: F.col(k).cast("long") for k in ("f_recencia_dias", "f_tempo_base_dias")})
 
 
-@registered(f"WITH {SALES_SQL} SELECT estabelecimento, mcc, count(*) AS qtd_transacoes, sum(valor_liquido)::decimal(18,2) AS valor_liquido_total, {mean_money('valor_liquido')} AS ticket_medio, count(DISTINCT id_cliente) AS qtd_clientes_distintos, count(*) FILTER (WHERE foi_estornada) AS qtd_estornadas, min(data_particao) AS primeira_transacao, max(data_particao) AS ultima_transacao, {r2('count(*) FILTER (WHERE foi_estornada) * 100.0::double / count(*)', 4)} AS taxa_estorno_pct FROM sales GROUP BY 1, 2")
+@registered(f"""
+WITH {SALES_SQL},
+b AS (
+  SELECT estabelecimento, mcc, count(*) AS qtd_transacoes, sum(valor_liquido)::decimal(28,2) AS valor_liquido_total, {mean('valor_liquido')} AS ticket_medio,
+    count(DISTINCT id_cliente) AS qtd_clientes_distintos, count(*) FILTER (WHERE foi_estornada) AS qtd_estornadas, min(data_particao) AS primeira_transacao, max(data_particao) AS ultima_transacao
+  FROM sales GROUP BY 1, 2)
+SELECT *, {pct('qtd_estornadas', 'qtd_transacoes', 4)} AS taxa_estorno_pct FROM b""")
 def merchant_dim(spark, sf):
     return marts.merchants(sales(spark, sf))
 
@@ -511,36 +607,89 @@ def repeated_keys(spark, sf):
 
 # Reports.
 
-MONTH_SQL = "month AS (SELECT id_cliente, ano_mes, count(*) AS qtd_transacoes, sum(valor_liquido)::double AS valor_mes FROM sales WHERE elegivel_metrica GROUP BY 1, 2)"
 
 
-@registered(f"""WITH {SALES_SQL}, {MONTH_SQL}, seen AS (SELECT *, avg(valor_mes) OVER w AS m, stddev(valor_mes) OVER w AS d, count(*) OVER w AS k FROM month WINDOW w AS (PARTITION BY id_cliente ORDER BY ano_mes ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
-SELECT id_cliente, ano_mes, qtd_transacoes, {r2('valor_mes')} AS valor_mes, {r2('m')} AS media_6m, {r2('d')} AS desvio_6m, {over('valor_mes', 'm')} AS variacao_vs_media_pct, {r2('(valor_mes - m) / d')} AS desvios_da_media, CASE WHEN valor_mes - m > 2 * d THEN 'PICO_DE_GASTO' ELSE 'QUEDA_DE_GASTO' END AS classificacao_anomalia FROM seen WHERE k >= 3 AND d > 0 AND abs(valor_mes - m) > 2 * d""")
+@registered(f"""
+WITH {SALES_SQL},
+movimento AS (SELECT id_cliente, ano_mes, count(*) AS qtd_transacoes, sum(valor_liquido)::double AS valor_mes FROM sales WHERE elegivel_metrica GROUP BY 1, 2),
+base AS (
+  SELECT *, avg(valor_mes) OVER p AS media_6m, stddev(valor_mes) OVER p AS desvio_6m, count(*) OVER p AS meses, lag(valor_mes) OVER w AS anterior, first_value(ano_mes) OVER w AS primeiro
+  FROM movimento
+  WINDOW w AS (PARTITION BY id_cliente ORDER BY ano_mes), p AS (PARTITION BY id_cliente ORDER BY ano_mes ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+classificado AS (
+  SELECT *, CASE WHEN meses < 3 THEN 'HISTORICO_INSUFICIENTE' WHEN desvio_6m IS NULL OR desvio_6m = 0 THEN 'SEM_VARIACAO_HISTORICA'
+    WHEN valor_mes > media_6m + 2 * desvio_6m THEN 'PICO_DE_GASTO' WHEN valor_mes < media_6m - 2 * desvio_6m THEN 'QUEDA_DE_GASTO' ELSE 'DENTRO_DO_PADRAO' END AS classificacao_anomalia
+  FROM base)
+SELECT id_cliente, ano_mes, qtd_transacoes, {r2('valor_mes')} AS valor_mes, {r2('media_6m')} AS media_6m, {r2('desvio_6m')} AS desvio_6m,
+  {over('valor_mes', 'media_6m')} AS variacao_vs_media_pct, {r2('(valor_mes - media_6m) / desvio_6m')} AS desvios_da_media, classificacao_anomalia,
+  {r2('anterior')} AS valor_mes_anterior, primeiro AS primeiro_mes_ativo
+FROM classificado WHERE classificacao_anomalia IN ('PICO_DE_GASTO', 'QUEDA_DE_GASTO')""")
 def spend_anomaly(spark, sf):
     return insight.spending_anomaly(sales(spark, sf))
 
 
-@registered(f"""WITH {SALES_SQL}, m AS (SELECT id_cliente, ano_mes, segmento_na_data AS segmento, cidade_na_data AS cidade, sum(valor_liquido)::double AS valor_mes FROM sales WHERE elegivel_metrica GROUP BY ALL), p AS (SELECT *, avg(valor_mes) OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS media, lag(valor_mes) OVER w AS anterior FROM m WINDOW w AS (PARTITION BY id_cliente ORDER BY ano_mes, segmento, cidade)),
-g AS (SELECT ano_mes, segmento, cidade, count(DISTINCT id_cliente) AS k, quantile_cont(valor_mes, 0.5) AS p50, quantile_cont(valor_mes, 0.75) AS p75, quantile_cont(valor_mes, 0.95) AS p95 FROM m GROUP BY ALL)
-SELECT id_cliente, ano_mes, segmento, cidade, {r2('valor_mes')} AS valor_mes, {r2('media')} AS media_propria_12m, {over('valor_mes', 'media')} AS variacao_vs_proprio_pct, {over('valor_mes', 'anterior')} AS variacao_vs_mes_anterior_pct, k AS clientes_no_grupo, {r2('p50')} AS mediana_grupo, {r2('p75')} AS p75_grupo, {r2('p95')} AS p95_grupo, {over('valor_mes', 'p50')} AS variacao_vs_grupo_pct,
-CASE WHEN k < 5 THEN 'GRUPO_PEQUENO' WHEN {r2('valor_mes')} > {r2('p95')} THEN 'MUITO_ACIMA_DO_GRUPO' WHEN {r2('valor_mes')} > {r2('p75')} THEN 'ACIMA_DO_GRUPO' WHEN {r2('valor_mes')} < {r2('p50')} THEN 'ABAIXO_DO_GRUPO' ELSE 'NA_MEDIA_DO_GRUPO' END AS posicao_no_grupo FROM p JOIN g USING (ano_mes, segmento, cidade)""")
+@registered(f"""
+WITH {SALES_SQL},
+m AS (
+  SELECT id_cliente, ano_mes, segmento_na_data AS segmento, cidade_na_data AS cidade, estado_na_data AS estado, sum(valor_liquido)::double AS valor_mes
+  FROM sales WHERE elegivel_metrica GROUP BY ALL),
+p AS (
+  SELECT *, avg(valor_mes) OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS media, lag(valor_mes) OVER w AS anterior, lead(valor_mes) OVER w AS seguinte,
+    first_value(valor_mes) OVER w AS primeiro, last_value(valor_mes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ultimo
+  FROM m WINDOW w AS (PARTITION BY id_cliente ORDER BY ano_mes, segmento, cidade, estado)),
+g AS (
+  SELECT ano_mes, segmento, cidade, count(DISTINCT id_cliente) AS k, quantile_cont(valor_mes, 0.5) AS p50, quantile_cont(valor_mes, 0.75) AS p75, quantile_cont(valor_mes, 0.95) AS p95
+  FROM m GROUP BY ALL)
+SELECT id_cliente, ano_mes, segmento, cidade, {r2('valor_mes')} AS valor_mes, {r2('media')} AS media_propria_12m, {over('valor_mes', 'media')} AS variacao_vs_proprio_pct,
+  {over('valor_mes', 'anterior')} AS variacao_vs_mes_anterior_pct, k AS clientes_no_grupo, {r2('p50')} AS mediana_grupo, {r2('p75')} AS p75_grupo, {r2('p95')} AS p95_grupo,
+  {over('valor_mes', 'p50')} AS variacao_vs_grupo_pct,
+  CASE WHEN k < 5 THEN 'GRUPO_PEQUENO' WHEN valor_mes > p95 THEN 'MUITO_ACIMA_DO_GRUPO' WHEN valor_mes > p75 THEN 'ACIMA_DO_GRUPO'
+    WHEN valor_mes < p50 THEN 'ABAIXO_DO_GRUPO' ELSE 'NA_MEDIA_DO_GRUPO' END AS posicao_no_grupo,
+  {r2('seguinte')} AS seguinte_mes, {r2('primeiro')} AS primeiro_mes, {r2('ultimo')} AS ultimo_mes
+FROM p JOIN g USING (ano_mes, segmento, cidade)""")
 def peer_position(spark, sf):
     return insight.peer_position(sales(spark, sf))
 
 
-@registered(f"""WITH {SALES_SQL}, c AS (SELECT id_cliente, max(segmento_na_data) AS segmento, max(cidade_na_data) AS cidade, count(*) AS qtd_transacoes, sum(valor_liquido)::decimal(38,2) AS valor_total, count(DISTINCT ano_mes) AS meses_ativos FROM sales WHERE elegivel_metrica GROUP BY 1), s AS (SELECT *, ntile(4) OVER v AS quartil_valor, ntile(4) OVER (ORDER BY qtd_transacoes, id_cliente) AS quartil_frequencia, ntile(10) OVER v AS decil_valor, percent_rank() OVER v AS pr, cume_dist() OVER v AS cd FROM c WINDOW v AS (ORDER BY valor_total, id_cliente))
-SELECT id_cliente, segmento, cidade, qtd_transacoes, valor_total, meses_ativos, quartil_valor, quartil_frequencia, decil_valor, {r2('pr', 4)} AS percentil_valor, {r2('cd', 4)} AS distribuicao_acumulada, CASE WHEN quartil_valor = 4 AND quartil_frequencia = 4 THEN 'ALTO_VALOR_ALTA_FREQUENCIA' WHEN quartil_valor = 4 AND quartil_frequencia <= 2 THEN 'ALTO_VALOR_BAIXA_FREQUENCIA' WHEN quartil_valor <= 2 AND quartil_frequencia = 4 THEN 'BAIXO_VALOR_ALTA_FREQUENCIA' WHEN quartil_valor = 1 AND quartil_frequencia = 1 THEN 'BAIXO_ENGAJAMENTO' ELSE 'INTERMEDIARIO' END AS perfil_valor_frequencia FROM s""")
+@registered(f"""
+WITH {SALES_SQL},
+c AS (
+  SELECT id_cliente, max(segmento_na_data) AS segmento, max(cidade_na_data) AS cidade, count(*) AS qtd_transacoes, sum(valor_liquido)::decimal(38,2) AS valor_total,
+    {mean('valor_liquido')} AS ticket, count(DISTINCT ano_mes) AS meses_ativos
+  FROM sales WHERE elegivel_metrica GROUP BY 1),
+s AS (
+  SELECT *, ntile(4) OVER v AS quartil_valor, ntile(4) OVER (ORDER BY qtd_transacoes, id_cliente) AS quartil_frequencia, ntile(10) OVER v AS decil_valor,
+    percent_rank() OVER (ORDER BY valor_total) AS pv, percent_rank() OVER (ORDER BY qtd_transacoes) AS pf, cume_dist() OVER (ORDER BY valor_total) AS cd
+  FROM c WINDOW v AS (ORDER BY valor_total, id_cliente))
+SELECT id_cliente, segmento, cidade, qtd_transacoes, valor_total, {r2('ticket')} AS ticket_medio, meses_ativos, quartil_valor, quartil_frequencia, decil_valor,
+  {r2('pv', 4)} AS percentil_valor, {r2('pf', 4)} AS percentil_frequencia, {r2('cd', 4)} AS distribuicao_acumulada,
+  CASE WHEN quartil_valor = 4 AND quartil_frequencia = 4 THEN 'ALTO_VALOR_ALTA_FREQUENCIA' WHEN quartil_valor = 4 AND quartil_frequencia <= 2 THEN 'ALTO_VALOR_BAIXA_FREQUENCIA'
+    WHEN quartil_valor <= 2 AND quartil_frequencia = 4 THEN 'BAIXO_VALOR_ALTA_FREQUENCIA' WHEN quartil_valor = 1 AND quartil_frequencia = 1 THEN 'BAIXO_ENGAJAMENTO'
+    ELSE 'INTERMEDIARIO' END AS perfil_valor_frequencia
+FROM s""")
 def value_frequency(spark, sf):
     return insight.value_frequency(sales(spark, sf))
 
 
-@registered(f"""WITH {SALES_SQL}, b AS (SELECT estabelecimento, mcc, count(*) AS qtd_transacoes, count(DISTINCT id_cliente) AS clientes_distintos, sum(valor_liquido)::decimal(38,2) AS valor_total, count(*) FILTER (WHERE foi_estornada) AS e FROM sales GROUP BY 1, 2), a AS (SELECT *, row_number() OVER w AS posicao, (sum(valor_total) OVER ())::double AS tudo, (sum(valor_total) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::double AS ate FROM b WINDOW w AS (ORDER BY valor_total DESC, estabelecimento, mcc))
-SELECT posicao, estabelecimento, mcc, qtd_transacoes, clientes_distintos, valor_total, {r2('valor_total::double * 100 / tudo')} AS participacao_pct, {r2('ate * 100 / tudo')} AS participacao_acumulada_pct, {r2('e * 100.0::double / qtd_transacoes')} AS taxa_estorno_pct, CASE WHEN {r2('ate * 100 / tudo')} <= 80 THEN 'A' WHEN {r2('ate * 100 / tudo')} <= 95 THEN 'B' ELSE 'C' END AS classe_abc FROM a""")
+@registered(f"""
+WITH {SALES_SQL},
+b AS (
+  SELECT estabelecimento, mcc, count(*) AS qtd_transacoes, count(DISTINCT id_cliente) AS clientes_distintos, sum(valor_liquido)::decimal(38,2) AS valor_total,
+    {mean('valor_liquido')} AS ticket, count(*) FILTER (WHERE foi_estornada) AS estornadas
+  FROM sales GROUP BY 1, 2),
+a AS (
+  SELECT *, row_number() OVER (ORDER BY valor_total DESC, estabelecimento, mcc) AS posicao, (sum(valor_total) OVER ())::double AS geral,
+    (sum(valor_total) OVER (ORDER BY valor_total DESC))::double AS ate
+  FROM b)
+SELECT posicao, estabelecimento, mcc, qtd_transacoes, clientes_distintos, valor_total, {r2('ticket')} AS ticket_medio, {r2('valor_total::double * 100 / geral')} AS participacao_pct,
+  {r2('ate * 100 / geral')} AS participacao_acumulada_pct, {pct('estornadas', 'qtd_transacoes')} AS taxa_estorno_pct,
+  CASE WHEN ate * 100 / geral <= 80 THEN 'A' WHEN ate * 100 / geral <= 95 THEN 'B' ELSE 'C' END AS classe_abc
+FROM a""")
 def abc_curve(spark, sf):
     return insight.abc_curve(sales(spark, sf))
 
 
-@registered(f"WITH {LOG_SQL} SELECT batch_id, data_referencia, camada, etapa, entidade, linhas_lidas, linhas_gravadas, linhas_rejeitadas, CASE WHEN linhas_lidas > 0 THEN {r2('linhas_rejeitadas * 100.0::double / linhas_lidas')} END AS taxa_rejeicao_pct, status, iniciado_em FROM log WHERE batch_id = (SELECT batch_id FROM log ORDER BY iniciado_em DESC, batch_id DESC LIMIT 1)")
+@registered(f"WITH {LOG_SQL} SELECT batch_id, data_referencia, camada, etapa, entidade, linhas_lidas, linhas_gravadas, linhas_rejeitadas, {pct('linhas_rejeitadas', 'linhas_lidas')} AS taxa_rejeicao_pct, status, iniciado_em FROM log WHERE batch_id = (SELECT batch_id FROM log ORDER BY iniciado_em DESC, batch_id DESC LIMIT 1)")
 def last_run_summary(spark, sf):
     return insight.last_run(run_log(spark, sf))
 

@@ -1,7 +1,7 @@
 """Analytical and monitoring reports over the data products, the histories, the quarantine and the run log.
 
-Averages and ratios are rounded after a nudge far below the last digit shown, so that exact halves round up
-everywhere. Reports take the run's reference date where others would look at the clock.
+Comparisons are of unrounded values; what is shown is rounded as a decimal. Reports take the run's reference date where
+others would look at the clock.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.functions.columns import classify, differs, guarded_ratio, rounded
+from lakeweave.functions.columns import classify, differs, guarded_ratio, percent, rounded
 from lakeweave.operators.history import ACTIVE, DELETED, END, START, as_of
-from lakeweave.operators.ranking import numbered, tile
+from lakeweave.operators.measures import aggregated, measures
+from lakeweave.operators.ranking import numbered, tied, tile
+
 
 def percent_over(value: Column, base: Column) -> Column:
     """By how many percent a value is over a positive base."""
@@ -21,53 +23,89 @@ def percent_over(value: Column, base: Column) -> Column:
 def spending_anomaly(fact: DataFrame, deviations: float = 2.0, least: int = 3) -> DataFrame:
     """Months of a client that lie more than two deviations off the mean of up to six months before."""
     month = fact.where("elegivel_metrica").groupBy("id_cliente", "ano_mes").agg(F.count("*").alias("qtd_transacoes"), F.sum("valor_liquido").cast("double").alias("valor_mes"))
-    past = Window.partitionBy("id_cliente").orderBy("ano_mes").rowsBetween(-6, -1)
-    seen = month.withColumns({"media": F.avg("valor_mes").over(past), "desvio": F.stddev("valor_mes").over(past), "meses": F.count("*").over(past)})
-    offset = F.col("valor_mes") - F.col("media")
-    label = classify((offset > deviations * F.col("desvio"), "PICO_DE_GASTO"), (offset < -deviations * F.col("desvio"), "QUEDA_DE_GASTO"))
-    found = seen.where((F.col("meses") >= least) & (F.col("desvio") > 0)).withColumn("classificacao_anomalia", label).where("classificacao_anomalia IS NOT NULL")
-    return found.select("id_cliente", "ano_mes", "qtd_transacoes", rounded(F.col("valor_mes")).alias("valor_mes"), rounded(F.col("media")).alias("media_6m"), rounded(F.col("desvio")).alias("desvio_6m"), percent_over(F.col("valor_mes"), F.col("media")).alias("variacao_vs_media_pct"), rounded(offset / F.col("desvio")).alias("desvios_da_media"), "classificacao_anomalia").orderBy(F.abs("desvios_da_media").desc(), F.desc("ano_mes"), "id_cliente")
+    months = Window.partitionBy("id_cliente").orderBy("ano_mes")
+    past = months.rowsBetween(-6, -1)
+    seen = month.withColumns({
+        "media": F.avg("valor_mes").over(past), "desvio": F.stddev("valor_mes").over(past), "meses": F.count("*").over(past),
+        "valor_mes_anterior": F.lag("valor_mes").over(months), "primeiro_mes_ativo": F.first("ano_mes").over(months),
+    })
+    value, mean, spread = F.col("valor_mes"), F.col("media"), F.col("desvio")
+    label = classify((value > mean + deviations * spread, "PICO_DE_GASTO"), (value < mean - deviations * spread, "QUEDA_DE_GASTO"))
+    found = seen.where((F.col("meses") >= least) & (spread > 0)).withColumn("classificacao_anomalia", label).where("classificacao_anomalia IS NOT NULL")
+    return found.select(
+        "id_cliente", "ano_mes", "qtd_transacoes", rounded(value).alias("valor_mes"), rounded(mean).alias("media_6m"), rounded(spread).alias("desvio_6m"),
+        percent_over(value, mean).alias("variacao_vs_media_pct"), rounded((value - mean) / spread).alias("desvios_da_media"), "classificacao_anomalia",
+        rounded(F.col("valor_mes_anterior")).alias("valor_mes_anterior"), "primeiro_mes_ativo",
+    ).orderBy(F.abs("desvios_da_media").desc(), F.desc("ano_mes"), "id_cliente")
 
 
 def peer_position(fact: DataFrame, least: int = 5) -> DataFrame:
-    """Each client's month against their own last twelve months, the month before, and their group (month, segment, city)."""
-    keys = ["id_cliente", "ano_mes", F.col("segmento_na_data").alias("segmento"), F.col("cidade_na_data").alias("cidade")]
+    """Each client's month against their own last twelve months, the months beside it, and their group (month, segment, city)."""
+    keys = ["id_cliente", "ano_mes", F.col("segmento_na_data").alias("segmento"), F.col("cidade_na_data").alias("cidade"), F.col("estado_na_data").alias("estado")]
     month = fact.where("elegivel_metrica").groupBy(*keys).agg(F.sum("valor_liquido").cast("double").alias("valor_mes"))
-    own = Window.partitionBy("id_cliente").orderBy("ano_mes", "segmento", "cidade")
-    mine = month.withColumns({"media_propria": F.avg("valor_mes").over(own.rowsBetween(-12, -1)), "anterior": F.lag("valor_mes").over(own)})
+    own = Window.partitionBy("id_cliente").orderBy("ano_mes", "segmento", "cidade", "estado")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mine = month.withColumns({
+        "media_propria": F.avg("valor_mes").over(own.rowsBetween(-12, -1)), "anterior": F.lag("valor_mes").over(own), "seguinte": F.lead("valor_mes").over(own),
+        "primeiro": F.first("valor_mes").over(own), "ultimo": F.last("valor_mes").over(whole),
+    })
     quantile = lambda p: F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY valor_mes)")
     group = month.groupBy("ano_mes", "segmento", "cidade").agg(F.countDistinct("id_cliente").alias("clientes_no_grupo"), quantile(0.5).alias("p50"), quantile(0.75).alias("p75"), quantile(0.95).alias("p95"))
-    value = rounded(F.col("valor_mes"))
-    small = F.col("clientes_no_grupo") < least
-    place = classify((small, "GRUPO_PEQUENO"), (value > rounded(F.col("p95")), "MUITO_ACIMA_DO_GRUPO"), (value > rounded(F.col("p75")), "ACIMA_DO_GRUPO"), (value < rounded(F.col("p50")), "ABAIXO_DO_GRUPO"), otherwise="NA_MEDIA_DO_GRUPO")
+    value, mean, before, p50, p75, p95 = map(F.col, ("valor_mes", "media_propria", "anterior", "p50", "p75", "p95"))
+    place = classify((F.col("clientes_no_grupo") < least, "GRUPO_PEQUENO"), (value > p95, "MUITO_ACIMA_DO_GRUPO"), (value > p75, "ACIMA_DO_GRUPO"), (value < p50, "ABAIXO_DO_GRUPO"), otherwise="NA_MEDIA_DO_GRUPO")
     return mine.join(group, ["ano_mes", "segmento", "cidade"]).select(
-        "id_cliente", "ano_mes", "segmento", "cidade", value.alias("valor_mes"), rounded(F.col("media_propria")).alias("media_propria_12m"), percent_over(F.col("valor_mes"), F.col("media_propria")).alias("variacao_vs_proprio_pct"), percent_over(F.col("valor_mes"), F.col("anterior")).alias("variacao_vs_mes_anterior_pct"),
-        "clientes_no_grupo", rounded(F.col("p50")).alias("mediana_grupo"), rounded(F.col("p75")).alias("p75_grupo"), rounded(F.col("p95")).alias("p95_grupo"), percent_over(F.col("valor_mes"), F.col("p50")).alias("variacao_vs_grupo_pct"), place.alias("posicao_no_grupo"),
+        "id_cliente", "ano_mes", "segmento", "cidade", rounded(value).alias("valor_mes"),
+        rounded(mean).alias("media_propria_12m"), percent_over(value, mean).alias("variacao_vs_proprio_pct"), percent_over(value, before).alias("variacao_vs_mes_anterior_pct"),
+        "clientes_no_grupo", rounded(p50).alias("mediana_grupo"), rounded(p75).alias("p75_grupo"), rounded(p95).alias("p95_grupo"), percent_over(value, p50).alias("variacao_vs_grupo_pct"), place.alias("posicao_no_grupo"),
+        *(rounded(F.col(c)).alias(f"{c}_mes") for c in ("seguinte", "primeiro", "ultimo")),
     )
 
 
 def value_frequency(fact: DataFrame) -> DataFrame:
-    """Clients by quarter of value and of frequency, and the profile that both make. Ties go by id."""
-    client = fact.where("elegivel_metrica").groupBy("id_cliente").agg(F.max("segmento_na_data").alias("segmento"), F.max("cidade_na_data").alias("cidade"), F.count("*").alias("qtd_transacoes"), F.sum("valor_liquido").cast("decimal(38,2)").alias("valor_total"), F.countDistinct("ano_mes").alias("meses_ativos"))
-    by_value = numbered(client, [F.col("valor_total"), F.col("id_cliente")], "_v")
-    both = numbered(by_value, [F.col("qtd_transacoes"), F.col("id_cliente")], "_f")
-    value, often, total = tile(F.col("_v"), F.col("_v_total"), 4), tile(F.col("_f"), F.col("_f_total"), 4), F.col("_v_total")
+    """Clients by quarter of value and of frequency, and the profile that both make.
+
+    Tiles break ties by id; relative ranks and cumulative shares are the same for equal values.
+    """
+    client = fact.where("elegivel_metrica").groupBy("id_cliente").agg(
+        F.max("segmento_na_data").alias("segmento"), F.max("cidade_na_data").alias("cidade"), F.count("*").alias("qtd_transacoes"), F.sum("valor_liquido").cast("decimal(38,2)").alias("valor_total"),
+        F.avg("valor_liquido").alias("ticket"), F.size(F.collect_set("ano_mes")).cast("long").alias("meses_ativos"),
+    )
+    by_value = tied(numbered(client, [F.col("valor_total"), F.col("id_cliente")], "_v"), "valor_total", "_v")
+    both = tied(numbered(by_value, [F.col("qtd_transacoes"), F.col("id_cliente")], "_f"), "qtd_transacoes", "_f")
+    total = F.col("_v_total")
+    value, often = tile(F.col("_v"), total, 4), tile(F.col("_f"), total, 4)
     profile = classify(
         ((value == 4) & (often == 4), "ALTO_VALOR_ALTA_FREQUENCIA"), ((value == 4) & (often <= 2), "ALTO_VALOR_BAIXA_FREQUENCIA"), ((value <= 2) & (often == 4), "BAIXO_VALOR_ALTA_FREQUENCIA"), ((value == 1) & (often == 1), "BAIXO_ENGAJAMENTO"), otherwise="INTERMEDIARIO"
     )
-    rank = F.when(total > 1, (F.col("_v") - 1) / (total - 1)).otherwise(0.0)
-    return both.select("id_cliente", "segmento", "cidade", "qtd_transacoes", "valor_total", "meses_ativos", value.alias("quartil_valor"), often.alias("quartil_frequencia"), tile(F.col("_v"), total, 10).alias("decil_valor"), rounded(rank, 4).alias("percentil_valor"), rounded(F.col("_v") / total, 4).alias("distribuicao_acumulada"), profile.alias("perfil_valor_frequencia"))
+    rank = lambda c: rounded(F.when(total > 1, (F.col(f"{c}_first") - 1) / (total - 1)).otherwise(0.0), 4)
+    return both.select(
+        "id_cliente", "segmento", "cidade", "qtd_transacoes", "valor_total", rounded(F.col("ticket")).alias("ticket_medio"), "meses_ativos", value.alias("quartil_valor"), often.alias("quartil_frequencia"), tile(F.col("_v"), total, 10).alias("decil_valor"),
+        rank("_v").alias("percentil_valor"), rank("_f").alias("percentil_frequencia"), rounded(F.col("_v_last") / total, 4).alias("distribuicao_acumulada"), profile.alias("perfil_valor_frequencia"),
+    )
 
 
 def abc_curve(fact: DataFrame, keys: tuple[str, ...] = ("estabelecimento", "mcc"), a: float = 80, b: float = 95) -> DataFrame:
-    """Merchants by value with their share, the share up to them in rows of the order, and class A, B or C. Ties go by key."""
-    by = fact.groupBy(*keys).agg(F.count("*").alias("qtd_transacoes"), F.countDistinct("id_cliente").alias("clientes_distintos"), F.sum("valor_liquido").cast("decimal(28,2)").alias("valor_total"), F.count_if("foi_estornada").alias("qtd_estornadas"))
-    placed = numbered(by, [F.desc("valor_total"), *(F.col(k) for k in keys)], "posicao", {"valor_total": "_up_to"})
-    whole = F.col("_up_to_total").cast("double")
-    share = rounded(F.col("valor_total").cast("double") * 100 / whole)
-    up_to = rounded(F.col("_up_to").cast("double") * 100 / whole)
-    label = classify((up_to <= a, "A"), (up_to <= b, "B"), otherwise="C")
-    return placed.select("posicao", *keys, "qtd_transacoes", "clientes_distintos", F.col("valor_total").cast("decimal(38,2)").alias("valor_total"), share.alias("participacao_pct"), up_to.alias("participacao_acumulada_pct"), rounded(F.col("qtd_estornadas") * 100.0 / F.col("qtd_transacoes")).alias("taxa_estorno_pct"), label.alias("classe_abc"))
+    """Merchants by value with their share, the share up to them, and class A, B or C.
+
+    Positions break ties by key; the share up to a merchant covers all those of equal value, as a running sum by value
+    does, and it is the unrounded share that decides the class.
+    """
+    table = measures("""
+        qtd_transacoes      rows      -
+        clientes_distintos  distinct  id_cliente
+        valor_total         sum       valor_liquido
+        ticket              mean      valor_liquido
+        qtd_estornadas      rows      -                | foi_estornada
+    """)
+    by = aggregated(fact, list(keys), table).withColumn("valor_total", F.col("valor_total").cast("decimal(28,2)"))
+    placed = tied(numbered(by, [F.desc("valor_total"), *(F.col(k) for k in keys)], "posicao", {"valor_total": "_sum"}), "valor_total", "posicao", "_sum")
+    up_to, whole = F.col("posicao_sum"), F.col("_sum_total").cast("double")
+    share = up_to.cast("double") * 100 / whole
+    label = classify((share <= a, "A"), (share <= b, "B"), otherwise="C")
+    return placed.select(
+        "posicao", *keys, "qtd_transacoes", "clientes_distintos", F.col("valor_total").cast("decimal(38,2)").alias("valor_total"), rounded(F.col("ticket")).alias("ticket_medio"),
+        rounded(F.col("valor_total").cast("double") * 100 / whole).alias("participacao_pct"), rounded(share).alias("participacao_acumulada_pct"), percent(F.col("qtd_estornadas"), F.col("qtd_transacoes")).alias("taxa_estorno_pct"), label.alias("classe_abc"),
+    )
 
 
 def at_instant(dimension: DataFrame, moment: str) -> DataFrame:
@@ -75,19 +113,34 @@ def at_instant(dimension: DataFrame, moment: str) -> DataFrame:
     return as_of(dimension, F.lit(moment).cast(dimension.schema[START].dataType))
 
 
-def timeline_report(dimension: DataFrame, key: str, flagged: tuple[str, ...], reference: str) -> DataFrame:
-    """Every version with its number, which of the given columns it changed, the days it held up to the reference date, and whether the chain is whole."""
+def timeline_report(dimension: DataFrame, key: str, flagged: tuple[str, ...], reference: str, measured: tuple[str, ...] = ()) -> DataFrame:
+    """Every version with its number, what it changed, how long it held, the ends of the chain, and whether the chain is whole.
+
+    Of flagged columns the value before, whether it changed and the value of the last version come; of measured ones
+    the change in percent. Days run up to the reference date for the version that still holds.
+    """
     w = Window.partitionBy(key).orderBy(START)
-    yes = lambda c: F.when(differs(F.col(c), F.lag(c).over(w)), "SIM").otherwise("NAO")
-    days = F.datediff(F.coalesce(F.col(END).cast("date"), F.lit(reference).cast("date")), F.col(START).cast("date"))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return dimension.select(key, F.row_number().over(w).cast("long").alias("versao"), START, END, ACTIVE, DELETED, *flagged, *(yes(c).alias(f"mudou_{c}") for c in flagged), days.cast("long").alias("dias_de_vigencia"), F.first(START).over(whole).alias("primeira_vigencia"), *(F.last(c).over(whole).alias(f"{c}_atual") for c in flagged), F.when(differs(F.col(END), F.lead(START).over(w)), "INCONSISTENTE").otherwise("OK").alias("consistencia"))
+    out = {
+        "versao": F.row_number().over(w).cast("long"),
+        "dias_de_vigencia": F.datediff(F.coalesce(F.col(END).cast("date"), F.lit(reference).cast("date")), F.col(START).cast("date")).cast("long"),
+        "primeira_vigencia": F.first(START).over(w),
+        "inicio_da_proxima": F.lead(START).over(w),
+    }
+    for c in flagged:
+        out[f"{c}_anterior"] = F.lag(c).over(w)
+        out[f"mudou_{c}"] = F.when(differs(F.col(c), F.lag(c).over(w)), "SIM").otherwise("NAO")
+        out[f"{c}_atual"] = F.last(c).over(whole)
+    for c in measured:
+        out[f"variacao_{c}_pct"] = percent_over(F.col(c).cast("double"), F.lag(c).over(w).cast("double"))
+    out["consistencia_da_linha_do_tempo"] = F.when(differs(F.col(END), F.lead(START).over(w)), "INCONSISTENTE").otherwise("OK")
+    return dimension.select(key, START, END, ACTIVE, DELETED, *flagged, *measured, *(v.alias(k) for k, v in out.items()))
 
 
 def last_run(log: DataFrame) -> DataFrame:
     """The stages of the batch that started last, with the share of rejected rows."""
     newest = log.agg(F.max_by("batch_id", F.struct("iniciado_em", "batch_id")).alias("batch_id"))
-    return log.join(F.broadcast(newest), "batch_id").select("batch_id", "data_referencia", "camada", "etapa", "entidade", "linhas_lidas", "linhas_gravadas", "linhas_rejeitadas", rounded(guarded_ratio(F.col("linhas_rejeitadas") * 100.0, F.col("linhas_lidas"))).alias("taxa_rejeicao_pct"), "status", "iniciado_em")
+    return log.join(F.broadcast(newest), "batch_id").select("batch_id", "data_referencia", "camada", "etapa", "entidade", "linhas_lidas", "linhas_gravadas", "linhas_rejeitadas", percent(F.col("linhas_rejeitadas"), F.col("linhas_lidas")).alias("taxa_rejeicao_pct"), "status", "iniciado_em")
 
 
 def volume_drop(log: DataFrame, least: int = 3) -> DataFrame:
@@ -103,7 +156,7 @@ def volume_drop(log: DataFrame, least: int = 3) -> DataFrame:
 def rejection_trend(log: DataFrame) -> DataFrame:
     """The share of rejected rows by day and entity, beside that of the entity's day before."""
     day = log.where("camada = 'silver'").groupBy("data_referencia", "entidade").agg(F.sum("linhas_lidas").alias("lidas"), F.sum("linhas_rejeitadas").alias("rejeitadas"))
-    rate = day.withColumn("taxa_pct", rounded(guarded_ratio(F.col("rejeitadas") * 100.0, F.col("lidas"))))
+    rate = day.withColumn("taxa_pct", percent(F.col("rejeitadas"), F.col("lidas")))
     return rate.withColumn("taxa_dia_anterior", F.lag("taxa_pct").over(Window.partitionBy("entidade").orderBy("data_referencia")))
 
 
