@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lakeweave.functions.columns import row_hash
+from lakeweave.operators.ordering import latest
 
 REASONS = "motivos_rejeicao"
 BLOCK, WARN = "REJEITA", "ALERTA"
@@ -61,9 +62,11 @@ def quarantine(rejected: DataFrame, entity: str, audit: list[str], layer: str, b
     if REASONS not in rejected.columns:
         raise ValueError(f"rejected rows of {entity} have no column {REASONS}")
     business = [c for c in rejected.columns if c not in (*audit, REASONS)]
+    order = [c for c in audit if c in rejected.columns]
     identity = F.sha2(F.concat_ws("|", F.lit(entity), row_hash(business), F.array_join(F.array_sort(REASONS), ",")), 256)
     original = F.to_json(F.struct(*(F.col(c) for c in rejected.columns if c != REASONS)))
-    return rejected.select(
+    found = rejected.select(
+        *(F.col(c).alias(f"_{c}") for c in order),
         F.lit(entity).alias("entidade"),
         F.lit(layer).alias("camada_origem"),
         F.lit(batch_id).alias("batch_id"),
@@ -72,7 +75,21 @@ def quarantine(rejected: DataFrame, entity: str, audit: list[str], layer: str, b
         F.col(REASONS),
         original.alias("registro_original"),
         identity.alias("hash_rejeicao"),
-    ).dropDuplicates(["hash_rejeicao"])
+    )
+    return latest(found, ["hash_rejeicao"], [f"_{c}" for c in order]).drop(*(f"_{c}" for c in order))
+
+
+def sample(rejected: DataFrame, n: int = 3, longest: int = 300) -> DataFrame:
+    """A few rejections as an example for a report: the records as far as they fit, those of smallest hash."""
+    few = rejected.orderBy("hash_rejeicao").limit(n)
+    return few.select("entidade", REASONS, F.substring("registro_original", 1, longest).alias("registro_original"))
+
+
+def tallied(rows: DataFrame, rules: list[Rule]) -> dict[str, int]:
+    """How many judged rows there are, are rejected, and violate each warning, in one pass."""
+    warnings = [r for r in rules if r.severity == WARN]
+    found = rows.agg(F.count(F.lit(1)).alias("read"), F.count_if(F.size(REASONS) > 0).alias("rejected"), *(F.count_if(r.violated()).alias(f"warning_{r.name}") for r in warnings)).first()
+    return found.asDict()
 
 
 def histogram(rejected: DataFrame) -> DataFrame:

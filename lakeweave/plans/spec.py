@@ -65,6 +65,7 @@ class Settings:
     reference: str = field(default_factory=lambda: _env("REFERENCE", "2024-01-31"))
     batch_id: str = field(default_factory=lambda: _env("BATCH", "batch-0"))
     compact_files: int = 1
+    again: bool = False  # read all raw rows, not only those that are new
 
     def __post_init__(self):
         if self.environment not in ENVIRONMENTS:

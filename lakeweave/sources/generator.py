@@ -39,19 +39,21 @@ def generate(root: str, reference: str = "2024-01-31", clients: int = 200, days:
     (top / "clientes").mkdir(parents=True, exist_ok=True)
     (top / "clientes/clientes_cdc.json").write_text("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in cdc), encoding="utf-8")
 
-    accounts = [{"id_conta": 1000 + k, "id_cliente": k, "tipo_conta": rng.choice(("CORRENTE", "POUPANCA")), "status_conta": "ATIVA", "data_abertura": first, "data_atualizacao": first, "operacao": "INSERT"} for k in range(1, clients + 1)]
+    owners = [k for k in range(1, clients + 1) for _ in range(rng.randint(1, 3))]
+    accounts = [{"id_conta": 10_000 + n, "id_cliente": k, "tipo_conta": rng.choice(("CORRENTE", "POUPANCA")), "status_conta": "ATIVA", "data_abertura": first, "data_atualizacao": first, "operacao": "INSERT"} for n, k in enumerate(owners)]
     closed = [a | {"status_conta": "ENCERRADA", "data_atualizacao": changed, "operacao": "UPDATE"} for a in accounts[::10]]
     orphan = accounts[0] | {"id_conta": 999_999, "id_cliente": 999_999}
-    cards = [{"id_cartao": 5000 + k, "id_conta": 1000 + k, "tipo_cartao": rng.choice(("CREDITO", "DEBITO")), "limite": round(rng.uniform(500, 20000), 2), "status_cartao": "ATIVO", "data_atualizacao": first, "operacao": "INSERT"} for k in range(1, clients + 1)]
+    holders = [a["id_conta"] for a in accounts for _ in range(rng.randint(1, 2))]
+    cards = [{"id_cartao": 50_000 + n, "id_conta": k, "tipo_cartao": rng.choice(("CREDITO", "DEBITO")), "limite": round(rng.uniform(500, 20000), 2), "status_cartao": "ATIVO", "data_atualizacao": first, "operacao": "INSERT"} for n, k in enumerate(holders)]
     raised = [c | {"limite": round(c["limite"] * 1.2, 2), "data_atualizacao": changed, "operacao": "UPDATE"} for c in cards[::5]]
-    cancelled = [c | {"status_cartao": "CANCELADO", "data_atualizacao": (end - timedelta(days=3)).isoformat(), "operacao": "UPDATE"} for c in cards[3::8]]
+    cancelled = [c | {"status_cartao": "CANCELADO", "data_atualizacao": (end - timedelta(days=3)).isoformat(), "operacao": "UPDATE"} for c in cards[3::12]]
     lost = cards[0] | {"id_cartao": 888_888, "id_conta": 888_888}
     out = {"clientes": len(cdc), "contas": _csv(top / "contas/contas_cdc.csv", [*accounts, *closed, orphan]), "cartoes": _csv(top / "cartoes/cartoes_cdc.csv", [*cards, *raised, *cancelled, lost])}
 
     number, by_day = 0, []
     for d in range(days):
         day, rows = end - timedelta(days=days - 1 - d), []
-        for _ in range(max(5, clients // 3)):
+        for _ in range(max(5, clients * 3 // 8)):
             number += 1
             code = rng.choice(MCCS)
             moment = datetime(day.year, day.month, day.day) + timedelta(seconds=rng.randrange(86_400))
@@ -62,7 +64,7 @@ def generate(root: str, reference: str = "2024-01-31", clients: int = 200, days:
         by_day[1] += by_day[0][:5]
     by_day[-1] = [r | {"dispositivo": rng.choice(("MOBILE", "DESKTOP"))} for r in by_day[-1]]
     out["transacoes"] = sum(_csv(top / f"transacoes/transacoes_{end - timedelta(days=days - 1 - d)}.csv", rows) for d, rows in enumerate(by_day))
-    sold = [r for rows in by_day for r in rows[: max(5, clients // 3)]]
+    sold = [r for rows in by_day for r in rows[: max(5, clients * 3 // 8)]]
     refunds = [{"id_estorno": k + 1, "id_transacao": r["id_transacao"], "data_estorno": end.isoformat(), "valor_estorno": r["valor"] if rng.random() < 0.6 else round(r["valor"] / 2, 2), "motivo": rng.choice(("FRAUDE", "DESISTENCIA", "ERRO"))} for k, r in enumerate(sold[::24])]
     out["estornos"] = _csv(top / "estornos/estornos.csv", [*refunds, refunds[0] | {"id_estorno": 9_999, "id_transacao": 9_999_999}])
     events = [{"id_evento": k + 1, "id_transacao": r["id_transacao"], "tipo_evento": rng.choice(("FRAUDE_CONFIRMADA", "CHARGEBACK", "SUSPEITA")), "severidade": rng.choice(("BAIXA", "MEDIA", "ALTA", "CRITICA")), "data_evento": end.isoformat()} for k, r in enumerate(sold[::28])]

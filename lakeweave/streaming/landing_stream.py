@@ -1,38 +1,34 @@
-"""Structured Streaming ingestion: a landing folder into a raw table, as far as there are files, then it stops."""
+"""Structured Streaming ingestion: a landing folder into a raw table, as far as there are files, then it stops.
+
+The stream is one of files, not of rows: its checkpoint remembers which it has seen, and each micro-batch reads its
+own files as batch ingestion does, one scan per layout. So columns may come, go or move from file to file within a run,
+and lines that don't fit their file's layout are kept in a column of their own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from lakeweave.functions.columns import layout_fingerprint
-from lakeweave.sources.landing import audited, canonical_column, header, landed
+from lakeweave.sources.landing import audited, canonical, landed, pending, scan
 from lakeweave.sources.store import SnapshotTable
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
 
 def ingest_stream(spark: SparkSession, folder: str, raw: SnapshotTable, checkpoint: str, batch_id: str, reference: str, kind: str = "csv", max_files: int = 1000) -> None:
-    """The source's columns are those of all files there now, as text; a file with new columns is taken up by the next
-    call. In CSV files new columns must follow the old ones (ValueError; batch ingestion takes any order). The rows get the same audit columns as in a batch. What a batch was to append and did is told by its number,
-    so a batch that is run again appends nothing twice."""
-    files = landed(spark, folder, "csv" if kind == "csv" else "json")
-    if not files:
+    """Append the files that are new to the stream, as text with the audit columns of a batch and `_rescued_data`.
+
+    Files that the raw table's ledgers have are left out, so a micro-batch that is run again after a failure, or a file
+    that batch ingestion took, appends nothing twice. A missing folder has no files.
+    """
+    extension = "csv" if kind == "csv" else "json"
+    if not landed(spark, folder, extension):
         return
-    if kind == "csv":
-        layouts = {header(spark, f) for f in files}
-        names = list(max(layouts, key=len))
-        if any(list(x) != names[: len(x)] for x in layouts):
-            raise ValueError(f"columns of {folder} don't continue one another: {sorted(layouts)}")
-    else:
-        names = spark.read.option("primitivesAsString", True).json(files).columns
-    schema = ", ".join(f"`{c}` string" for c in names)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    source = reader.option("header", True).csv(f"{folder}/*.csv") if kind == "csv" else reader.json(f"{folder}/*.json")
-    rows = source.select("*", canonical_column("_metadata.file_path").alias("arquivo_origem")).withColumn("schema_version", F.lit(layout_fingerprint(names)))
-
-    def store(batch, number):
-        if raw.exists() and not batch.isEmpty():
-            batch = batch.join(raw.read().select("arquivo_origem").distinct(), "arquivo_origem", "left_anti")
-        if not batch.isEmpty():
-            raw.append(audited(batch, batch_id, reference))
-
-    rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = spark.readStream.schema(FILES).format("binaryFile").option("maxFilesPerTrigger", max_files).option("pathGlobFilter", f"*.{extension}").load(folder).select("path")
+
+    def store(batch, _number):
+        files = pending(spark, sorted(canonical(r["path"]) for r in batch.collect()), raw)  # at most max_files names
+        if files:
+            raw.append(audited(scan(spark, files, kind, rescued=True), batch_id, reference), files)
+
+    found.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

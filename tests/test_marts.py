@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from lakeweave.operators.ranking import numbered, tile
+from lakeweave.operators.ranking import numbered, tied, tile
 from lakeweave.plans import marts
 
 
@@ -53,3 +53,25 @@ def test_tiles_are_those_of_ntile(spark, n):
     df.createOrReplaceTempView("tiled")
     want = spark.sql("SELECT id, CAST(ntile(4) OVER (ORDER BY v, id) AS BIGINT) AS t, row_number() OVER (ORDER BY v, id) AS p, sum(v) OVER (ORDER BY v, id) AS up_to, sum(v) OVER () AS up_to_total FROM tiled")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_refund_of_any_amount_counts_and_ratios_follow_the_contract(fact):
+    f, clients, spark = fact
+    month = {r["ano_mes"]: r for r in marts.client_month(f, clients).collect()}
+    assert month["2024-02"]["comprometimento_renda"] == 4.5 and month["2024-01"]["qtd_cartoes_usados"] == 1
+    one = marts.client_features(marts.client_month(f, clients), f, clients, "2024-02-20").first()
+    assert one["f_frequencia_mensal"] == pytest.approx(2 / (41 / 30)) and one["f_perc_ecommerce"] == 0.0 and one["f_qtd_exterior"] == 0
+    assert one["f_dias_ativos"] == 2 and one["f_comprometimento_renda"] == pytest.approx(45 / 2000)
+
+
+def test_ties_share_ranks(spark):
+    df = spark.createDataFrame([(1, 5), (2, 5), (3, 7), (4, None)], "id int, v int")
+    placed = tied(numbered(df, [F.col("v"), F.col("id")], "p"), "v", "p")
+    assert sorted((r["id"], r["p_first"], r["p_last"]) for r in placed.collect()) == [(1, 2, 3), (2, 2, 3), (3, 4, 4), (4, 1, 1)]
+
+
+@pytest.mark.parametrize(("x", "want"), [(0.12499995, 0.12), (-2.345, -2.35), (2.345, 2.35), (0.125, 0.13), (None, None)])
+def test_rounding_is_that_of_decimals(spark, x, want):
+    from lakeweave.functions.columns import rounded
+
+    assert spark.createDataFrame([(x,)], "x double").select(rounded(F.col("x"))).first()[0] == want

@@ -152,7 +152,7 @@ def test_invariants_and_grain(spark, lake):
     s = Settings(root=lake[0])
     fact = SnapshotTable(spark, s.table("gold", "gold_fato_transacao")).read()
     assert flow.violations(flow.silver(spark, cards.entities(s.reference), s), fact).count() == 0
-    assert fact.count() == fact.select("id_transacao").distinct().count() == 3 * 8
+    assert fact.count() == fact.select("id_transacao").distinct().count() == 3 * 9
     assert fact.where("dispositivo is not null").count() > 0 and len(fact.columns) == 32
 
 
@@ -173,3 +173,55 @@ def test_modes_and_missing_parents(spark, tmp_path):
     with pytest.raises(ValueError, match="no table yet"):
         runner.run_entity(spark, entities["conta"], entities, Settings(root=str(tmp_path)))
     assert [e.name for e in runner.ordered(dict(reversed(entities.items())))].index("cliente") == 0
+
+
+def test_a_change_rewrites_only_the_files_that_hold_its_keys(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"), ("day",))
+    t.replace(spark.createDataFrame([(1, "a", "x y"), (2, "b", "m"), (3, "c", None)], "k int, v string, day string"))
+    before = {f for p in t.manifest()["parts"] for f in t._listed(p)}
+    t.upsert(spark.createDataFrame([(1, "A", "x y"), (9, "n", "z")], "k int, v string, day string"), ["k"])
+    gone = {f for own in t.manifest()["removed"].values() for f in own}
+    assert len(gone) == 1 and gone < before
+    assert rows(t.read(), "k", "v", "day") == [(1, "A", "x y"), (2, "b", "m"), (3, "c", None), (9, "n", "z")]
+    assert rows(t.read(1), "k", "v") == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_commits_do_not_overwrite_one_another(spark, tmp_path, monkeypatch):
+    df = spark.range(1)
+    a, b = SnapshotTable(spark, str(tmp_path / "t")), SnapshotTable(spark, str(tmp_path / "t"))
+    a.replace(df)
+    known = b.versions()
+    a.append(df)
+    monkeypatch.setattr(b, "versions", lambda: known)
+    with pytest.raises(Exception, match="already exists|AlreadyExists|exist"):
+        b.append(df)
+    assert a.read().count() == 2 and a.versions() == [1, 2]
+
+
+def test_late_parents_heal_orphans_and_idle_runs_read_nothing(spark, tmp_path):
+    generate(str(tmp_path), clients=8, days=1)
+    clients = tmp_path / "landing/clientes/clientes_cdc.json"
+    lines = clients.read_text().splitlines(keepends=True)
+    own = [line for line in lines if '"id_cliente": 3,' in line]
+    clients.write_text("".join(line for line in lines if line not in own))
+    settings = Settings(root=str(tmp_path))
+    flow.run(settings, spark)
+    accounts = SnapshotTable(spark, settings.table("silver", "dim_conta"))
+    assert accounts.read().where("id_cliente = 3").count() == 0
+    (clients.parent / "late.json").write_text("".join(own))
+    flow.run(settings, spark)
+    healed = accounts.read().where("id_cliente = 3").count()
+    assert healed > 0
+    assert flow.run(settings, spark)["read"] == 0
+    again = flow.run(Settings(root=str(tmp_path), again=True), spark)
+    assert again["read"] > 0 and accounts.read().where("id_cliente = 3").count() == healed
+
+
+def test_stream_takes_up_columns_within_a_run_and_keeps_odd_lines(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a.csv").write_text("x,y\n1,2\n7,8,9\n")
+    (d / "b.csv").write_text("z,x\n3,4\n")
+    raw = SnapshotTable(spark, str(tmp_path / "raw"))
+    ingest_stream(spark, str(d), raw, str(tmp_path / "cp"), "b", "2024-01-01", max_files=1)
+    assert rows(raw.read(), "x", "y", "z", "_rescued_data") == [("1", "2", None, None), ("4", None, "3", None), ("7", "8", None, "7,8,9")]
