@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,26 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweave.sources.scratch import application_dir, delete, drop, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: the session's spark.checkpoint.dir; set here only if unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext.getCheckpointDir()
-        folder = found or "file://" + tempfile.mkdtemp(prefix="lakeweave-")
-        if not found:
-            spark.sparkContext.setCheckpointDir(folder)
-            found = spark.sparkContext.getCheckpointDir()
-        folder = found or folder
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """The same rows, written once as Parquet to the shared folder and read back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakeweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bucketed", "carried", "drop", "dropped", "release", "shared_dir", "shuffle_parts", "table", "with_texts", "written"]
 
 
 def bucketed(df: DataFrame, key: str, name: str = "b") -> tuple[DataFrame, str]:
@@ -39,7 +21,7 @@ def bucketed(df: DataFrame, key: str, name: str = "b") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     parts = shuffle_parts(spark)
     table = f"lakeweave_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/lakeweave/{table}"
+    path = f"{application_dir(spark)}/{table}"
     df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts, key).saveAsTable(table)
     return spark.table(table), table
 
@@ -48,8 +30,7 @@ def dropped(spark: SparkSession, name: str) -> None:
     """Drop a table of bucketed() and its files."""
     location = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(location)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, location)
 
 
 def release(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ import numpy as np
 
 import corpus_pipeline
 from lakeweave.llm import bpe, co_training, pseudo_likelihood, queries, site_style
+from lakeweave.llm.text import WHITE, word_hashes
 
 
 def quality_corpus(prose, n=600):
@@ -43,16 +44,31 @@ def test_quality_of_unlabelled_documents(spark, prose, odd_docs):
 
 
 def test_gradient_is_that_of_the_loss():
-    rng, p = np.random.default_rng(2), pseudo_likelihood.start(3).astype(np.float64)
-    context, target = rng.integers(0, pseudo_likelihood.TOKENS, (7, 4)), rng.integers(0, pseudo_likelihood.TOKENS, 7)
-    loss = lambda q: -pseudo_likelihood.forward(q, context)[1][np.arange(7), target].mean()
-    after = p.copy()
-    pseudo_likelihood.learn(after, context, target, 1.0)
-    grad = p - after
-    for i in [*rng.integers(0, pseudo_likelihood.SIZE, 20).tolist(), *np.argsort(-np.abs(grad))[:20].tolist()]:
-        step = np.zeros_like(p)
-        step[i] = 1e-5
-        assert abs((loss(p + step) - loss(p - step)) / 2e-5 - grad[i]) < 1e-5
+    shape, rng = pseudo_likelihood.Shape(4), np.random.default_rng(2)
+    p = pseudo_likelihood.start(shape, np.arange(16), 3).astype(np.float64)
+    context, target = rng.integers(0, 17, (7, 4)), rng.integers(0, 16, 7)
+    order, back, d_out, d_bias, members = pseudo_likelihood.gradient(shape, p, context, target)
+    want = np.zeros(shape.size)
+    table, bias, out, out_bias, inner, inner_bias, *_ = shape.views(want)
+    for k in range(4):
+        np.add.at(table[k], context[order, k], back)
+    bias[:], out[:], out_bias[:] = back.sum(axis=0), d_out, d_bias
+    for c, w, x in members:
+        inner[c], inner_bias[c] = w, x
+    squares = sum(int(np.prod(s)) for s in shape.shapes()[6:])
+    for i in rng.permutation(shape.size - squares)[:60].tolist():
+        up, down = p.copy(), p.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        slope = (pseudo_likelihood.log_probs(shape, down, context, target) - pseudo_likelihood.log_probs(shape, up, context, target)).sum() / 2e-5
+        assert abs(slope - want[i]) < 1e-4
+
+
+def test_probabilities_of_all_tokens_sum_to_one():
+    shape, rng = pseudo_likelihood.Shape(5), np.random.default_rng(4)
+    p = pseudo_likelihood.start(shape, np.arange(25), 1)
+    context = np.repeat(rng.integers(0, 26, (1, 4)), 25, axis=0)
+    assert abs(np.exp(pseudo_likelihood.log_probs(shape, p, context, np.arange(25))).sum() - 1) < 1e-5
 
 
 def test_pseudo_likelihood(spark, prose, odd_docs):
@@ -61,27 +77,34 @@ def test_pseudo_likelihood(spark, prose, odd_docs):
     texts = [" ".join(pattern[(s + k) % 8] for k in range(rng.randint(60, 300))) for s in (rng.randrange(8) for _ in range(200))]
     shuffled = " ".join(rng.sample(" ".join(texts[:2]).split(), 100))
     docs = spark.createDataFrame(list(enumerate([*texts, shuffled])), "doc_id long, text string")
-    found = {r["doc_id"]: r for r in pseudo_likelihood.score(docs, share=2, rounds=3).collect()}
+    found = {r["doc_id"]: r for r in pseudo_likelihood.score(docs).collect()}
     assert all(found[k]["n_tokens"] == len(texts[k].split()) for k in range(200))
-    unigram = -np.log(8)
-    assert found[0]["mean_log_prob"] > unigram / 2 > found[200]["mean_log_prob"]
-    known = pseudo_likelihood.vocabulary(docs)
-    assert len(known) == 8
-    p = pseudo_likelihood.train(docs, known, 3, 2)
-    number = {w: 1 + int(np.searchsorted(known, h)) for w, h in zip(pattern, [pseudo_likelihood_hash(w) for w in pattern], strict=True)}
+    assert found[0]["mean_log_prob"] > -np.log(8) / 2 > found[200]["mean_log_prob"]
+    model, passages = pseudo_likelihood.fit(docs)
+    assert len(model.known) == 8 and model.losses[-1] < 0.7 * model.losses[0]
+    assert passages.agg({"n": "sum"}).first()[0] == sum(r["n_tokens"] for r in found.values())
+    number = {w: int(np.flatnonzero(model.known == word_hashes(w, WHITE)[0])[0]) for w in pattern}
     t = [number[w] for w in texts[3].split()]
-    context = np.array([[t[i + d] if 0 <= i + d < len(t) else 0 for d in (-2, -1, 1, 2)] for i in range(len(t))])
-    plain = pseudo_likelihood.forward(p, context)[1][np.arange(len(t)), t].sum()
-    assert abs(plain - found[3]["log_prob"]) < 0.05
+    context = np.array([[t[i + d] if 0 <= i + d < len(t) else model.shape.tokens for d in (-2, -1, 1, 2)] for i in range(len(t))])
+    assert abs(pseudo_likelihood.log_probs(model.shape, model.params, context, np.array(t)).sum() - found[3]["log_prob"]) < 0.05
     odd = {r["doc_id"]: r for r in pseudo_likelihood.score(odd_docs).collect()}
     assert odd[1]["n_tokens"] == odd[3]["n_tokens"] == 0 and odd[1]["log_prob"] == 0 and odd[1]["mean_log_prob"] is None and odd[5]["n_tokens"] == 60_000
     assert pseudo_likelihood.score(odd_docs.limit(0)).count() == 0
 
 
-def pseudo_likelihood_hash(word):
-    from lakeweave.llm.text import WHITE, word_hashes
+def test_scores_do_not_depend_on_partitions_and_beat_the_shares_of_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["mean_log_prob"] for r in pseudo_likelihood.score(docs.repartition(k), epochs=2).collect()} for k in (1, 7))
+    assert max(abs(one[k] - many[k]) for k in one if one[k] is not None) < 1e-4
+    model, _ = pseudo_likelihood.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), epochs=2)
+    assert min(model.losses) < model.losses[0] - 0.2
 
-    return word_hashes(word, WHITE)[0]
+
+def test_passages_hold_every_position_once(spark):
+    long = " ".join(f"w{k % 50}" for k in range(2 * pseudo_likelihood.PASSAGE + 5))
+    docs = spark.createDataFrame([(1, long), (2, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
+    _, passages = pseudo_likelihood.fit(docs, epochs=1)
+    assert sorted((r["doc_id"] or 0, r["lead"], r["n"]) for r in passages.collect()) == [(0, 0, 0), (0, 0, 1), (1, 0, pseudo_likelihood.PASSAGE), (1, 2, 5), (1, 2, pseudo_likelihood.PASSAGE), (2, 0, 2)]
 
 
 def test_page_text():
