@@ -3,9 +3,10 @@
 The pages of a host are merged into one style tree: a node is a chain of element labels (tag and class) below the
 root, and holds how often each child sequence (presentation) and each text (content) occurs there. A node's importance
 joins the normalised entropies of both over the pages of the host that have it: what always looks and reads alike is
-site furniture. Branches of low importance are removed from each page, together with branches that their own markup
-declares as furniture (menus, notices, adverts, forms and the like), which is all there is to go by on hosts of few
-pages or where furniture differs from page to page. Copies of a page count once, so that a host of copies tells
+site furniture. What its own markup declares (menus, notices, adverts, forms and the like) is a prior: the importance of
+such a node is its entropy, which is at most 1, times DECLARED, and so below LOW on any host; that is all there is to go
+by on hosts of few pages, whose entropies count as 1, or where furniture differs from page to page. Branches of low
+importance are removed from each page. Copies of a page count once, so that a host of copies tells
 nothing about what is furniture. A low branch loses only what stands outside the articles and main elements in it; an
 article or main that is low itself is kept whole but for furniture declared in it.
 
@@ -30,6 +31,7 @@ from lakeweave.llm.common import written
 LEAST_PAGES = 5
 LOW = 0.15
 PRESENTATION_WEIGHT = 0.3
+DECLARED = 0.1  # the prior of an element that declares itself furniture; others have 1, and importance is prior x entropy
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -37,6 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"option", "legend", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
+HIDES_P = frozenset("button table td th".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "div", "nav"}
 FURNITURE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea dialog menu object audio video canvas title".split())
@@ -47,7 +50,7 @@ MASK = (1 << 63) - 1
 
 
 def furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element declares itself to be no main text."""
+    """Whether an element declares itself to be no main text: its importance, at most DECLARED, is low on any host."""
     if tag in FURNITURE_TAGS or tag == "header" and not in_article:
         return True
     if attributes:
@@ -65,24 +68,26 @@ def label(tag: str, attributes: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "node", "furniture", "article", "main", "children", "content", "low", "whole")
+    __slots__ = ("tag", "node", "furniture", "article", "main", "children", "content", "low", "whole", "open_p")
 
-    def __init__(self, tag, node, is_furniture, article, main):
-        self.tag, self.node, self.furniture, self.article, self.main = tag, node, is_furniture, article, main
+    def __init__(self, tag, node, is_furniture, article, main, open_p):
+        self.tag, self.node, self.furniture, self.article, self.main, self.open_p = tag, node, is_furniture, article, main, open_p
         self.children = self.content = 0
         self.low = self.whole = False
 
 
 def walk(source: str) -> Iterator[tuple[str, object, list[Element]]]:
     """Events of a page: ("open" | "close", element, stack) and ("text", text, stack). Tolerates whatever is cut off or left open."""
-    root = Element("", 7, False, False, False)
+    root = Element("", 7, False, False, False, 0)
     stack, at, size = [root], 0, len(source)
+    opened: Counter[str] = Counter()  # how many elements of a tag are open, so that a search down the stack finds one
 
     def close(k):
         while len(stack) > k:
             e = stack[-1]
             yield "close", e, stack
             stack.pop()
+            opened[e.tag] -= 1
             up = stack[-1]
             up.content = (up.content * 31 + e.content) & MASK
 
@@ -105,19 +110,14 @@ def walk(source: str) -> Iterator[tuple[str, object, list[Element]]]:
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     yield from close(k)
                     break
             continue
-        if tag in CLOSES_P and any(e.tag == "p" for e in stack[-6:]):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    yield from close(k)
-                    break
-                if stack[k].tag in ("button", "table", "td", "th"):
-                    break
-        if tag in ENDED_BY:
+        if tag in CLOSES_P and stack[-1].open_p:
+            yield from close(stack[-1].open_p)
+        if tag in ENDED_BY and any(opened[x] for x in ENDED_BY[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ENDED_BY[tag]:
                     yield from close(k)
@@ -127,8 +127,9 @@ def walk(source: str) -> Iterator[tuple[str, object, list[Element]]]:
         up = stack[-1]
         own = label(tag, m[3])
         up.children = (up.children * 1000003 + own) & MASK
-        e = Element(tag, (up.node * 1000003 ^ own) & MASK, up.furniture or furniture(tag, m[3], up.article), up.article or tag == "article", up.main or tag == "main")
+        e = Element(tag, (up.node * 1000003 ^ own) & MASK, up.furniture or furniture(tag, m[3], up.article), up.article or tag == "article", up.main or tag == "main", len(stack) if tag == "p" else 0 if tag in HIDES_P else up.open_p)
         stack.append(e)
+        opened[tag] += 1
         yield "open", e, stack
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(source, at)
