@@ -36,6 +36,7 @@ ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 SEPARATORS = ALPHABET.index("+")  # the code of the first; those after it are separators too
 CODE = np.full(128, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+LEFT = 10
 THRESHOLD = 0.35  # nats a transition
 SAMPLE_DOCS = 2_000  # documents (those of least hash of their id) whose long words may train the ordinary class
 SAMPLE_STRINGS = 4_000  # strings of each class
@@ -99,17 +100,17 @@ def ratio(table: np.ndarray, s: str) -> float:
     return float(table[np.concatenate(([len(ALPHABET) + 1], codes[:-1])), codes].mean()) if len(codes) else 0.0
 
 
-def best_part(table: np.ndarray, s: str, threshold: float) -> float:
+def best_part(table: np.ndarray, s: str, threshold: float, least: int = LEAST) -> float:
     """The greatest sum of the ratios above the threshold, over the run and its parts between separators of the least length."""
     codes, start = encode(s), len(ALPHABET) + 1
-    if len(codes) < LEAST:
+    if len(codes) < least:
         return -np.inf
     total = np.concatenate(([0.0], np.cumsum(table[np.concatenate(([start], codes[:-1])), codes] - threshold)))
     cut = codes >= SEPARATORS
     begins = np.flatnonzero(np.concatenate(([True], cut[:-1])))
-    ends = np.flatnonzero(np.concatenate((cut, [True]))[LEAST:]) + LEAST
+    ends = np.flatnonzero(np.concatenate((cut, [True]))[least:]) + least
     before = np.maximum.accumulate(table[start, codes[begins]] - threshold - total[begins + 1])
-    return float((total[ends] + before[np.searchsorted(begins, ends - LEAST, "right") - 1]).max())
+    return float((total[ends] + before[np.searchsorted(begins, ends - least, "right") - 1]).max())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -123,14 +124,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def outside(begin: int, end: int, base: list[tuple[int, int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """The parts of a run that no base span covers, and the first base span that may reach beyond it. Base spans are in order; all before `at` end before the run."""
+    parts, here, k = [], begin, at
+    while k < len(base) and base[k][0] < end:
+        if base[k][0] > here:
+            parts.append((here, base[k][0]))
+        here = max(here, base[k][2])
+        k += 1
+    if here < end:
+        parts.append((here, end))
+    while at < len(base) and base[at][2] <= end:
+        at += 1
+    return parts, at
+
+
 def markov_spans(text: str, base: list[tuple[int, int, int]], table: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    """Candidate runs outside the base spans that look random as a whole or in a part."""
-    out = []
+    """Candidate runs, or what base spans leave of them, that look random as a whole or in a part.
+
+    What is left of a run beside a base span is judged from LEFT characters on, as it need not be a whole secret.
+    """
+    out, at = [], 0
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and b > m.start() for a, _, b in base):
-            continue
-        if best_part(table, m[0], threshold) > 0:
-            out.append((m.start(), 3, m.end()))
+        while at < len(base) and base[at][2] <= m.start():
+            at += 1
+        parts, at = outside(m.start(), m.end(), base, at)
+        least = LEAST if parts == [m.span()] else LEFT
+        out += [(a, 3, b) for a, b in parts if best_part(table, text[a:b], threshold, least) > 0]
     return out
 
 
