@@ -6,9 +6,9 @@ unit vectors, and each pair of codewords is a direction. So the CODEWORDS**2 dir
 vector's filters are list-decoded from its scores with the two codebooks. Vectors of one label and filter are compared
 by cosine in double precision; a pair found by several filters counts at the first of them.
 
-Equal vectors of a label are one class from the start. A filter with many vectors is cut into chunks, and each pair of
-chunks is a cell of its own, so that a group of near-copies of any size is spread over the tasks. A cell puts out
-counts by vector and the links that join components, never its pairs.
+Equal vectors of a label are one class from the start. A filter with many vectors is cut into chunks of bounded size, and
+each pair of chunks is a cell of its own, so that a group of near-copies of any size is spread over the tasks; its pairs
+are compared block by block. A cell puts out counts by vector and links that join its components, never its pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweave.llm.common import release, shuffle_parts, written
-from lakeweave.llm.components import components, forest
+from lakeweave.llm.common import drop, release, shuffle_parts, written
+from lakeweave.llm.components import components, joined
 
 LEAST = 0.93
 CODEWORDS = 128
@@ -32,7 +32,10 @@ HIGHEST = 0.85  # the threshold as a cosine at most, for spaces of few dimension
 FEWEST = 24  # filters of a vector that exceeds fewer: its best ones
 SEED = 93
 CHUNK = 256
+LARGEST = 1 << 15  # vectors of a chunk at most
+BLOCK = 1024  # rows and columns of a product
 PAIRS_AT_ONCE = 20_000
+LINKS_AT_ONCE = 1 << 18
 
 FEW_DIMENSIONS = 8
 FEW_DIRECTIONS = 512
@@ -77,16 +80,24 @@ def filters_of(unit: np.ndarray, threshold: float = THRESHOLD, codewords: int =
 
 
 def _members(width, batches):
-    """(vec_id, print, vector): the vector's bytes and a digest of it and its label, both null if it can't link."""
+    """(vec_id, label, print, vector): the vector's bytes and a digest of it and its label, both null if it can't link."""
     for batch in batches:
-        prints, vectors = [], []
-        for vec_id, values, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            ok = vec_id is not None and label is not None and values and None not in values
-            if ok:
-                v = np.array(values, width) + width(0)
-                ok = bool(np.isfinite(v).all() and v.any())
-            prints.append(hashlib.blake2b(v.tobytes() + b"|" + label.encode(), digest_size=16).digest() if ok else None)
-            vectors.append(v.tobytes() if ok else None)
+        lists = batch.column(1)
+        offsets = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int32)
+        values = lists.values
+        data = values.to_numpy(zero_copy_only=False).astype(width) + width(0)  # a null component is NaN, and -0 is 0
+        bad = np.concatenate(([0], np.cumsum(~np.isfinite(data))))
+        some = np.concatenate(([0], np.cumsum(data != 0)))
+        begin, end = offsets[:-1], offsets[1:]
+        ok = (bad[end] == bad[begin]) & (some[end] > some[begin])
+        for column in batch.columns:
+            ok &= column.is_valid().to_numpy(zero_copy_only=False)
+        prints: list[bytes | None] = [None] * len(batch)
+        vectors: list[bytes | None] = [None] * len(batch)
+        labels = batch.column(2).to_pylist()
+        for r in np.flatnonzero(ok).tolist():
+            vectors[r] = raw = data[begin[r] : end[r]].tobytes()
+            prints[r] = hashlib.blake2b(raw + b"|" + labels[r].encode(), digest_size=16).digest()
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary()), pa.array(vectors, pa.binary())], names=["vec_id", "label", "print", "vector"])
 
 
@@ -134,51 +145,83 @@ def _cells(width, least, batches):
         yield from _cell_rows(rest, width, least)
 
 
+def _filter_bits(lists: pa.Array) -> np.ndarray:
+    """Sets of filters as packed bits, a row each; made a few rows at a time."""
+    out = np.zeros((len(lists), CODEWORDS * CODEWORDS // 8), np.uint8)
+    for k in range(0, len(lists), BLOCK):
+        part = lists.slice(k, BLOCK)
+        bits = np.zeros((len(part), CODEWORDS * CODEWORDS), bool)
+        bits[np.repeat(np.arange(len(part)), np.asarray(part.value_lengths())), part.flatten().to_numpy()] = True
+        out[k : k + len(part)] = np.packbits(bits, axis=1)
+    return out
+
+
+def _first_here(bits: np.ndarray, p: np.ndarray, q: np.ndarray, here: int) -> np.ndarray:
+    """Of pairs of rows, which have this filter as the first that they share."""
+    first = np.zeros(len(p), bool)
+    for k in range(0, len(p), PAIRS_AT_ONCE):
+        common = bits[p[k : k + PAIRS_AT_ONCE]] & bits[q[k : k + PAIRS_AT_ONCE]]
+        byte = (common != 0).argmax(axis=1)
+        lowest = byte * 8 + 8 - np.ceil(np.log2(common[np.arange(len(byte)), byte] + 1.0)).astype(np.int64)
+        first[k : k + PAIRS_AT_ONCE] = lowest == here
+    return first
+
+
 def _cell_rows(table: pa.Table, width, least):
+    """Counts and links of whole cells. The products of a large cell are made block by block, and the links of a block thinned before the next."""
     cell, ids, copies = table["cell"].to_numpy(), table["first"].to_numpy(), table["copies"].to_numpy()
     chunk, i, j, here = (table[c].to_numpy() for c in ("chunk", "i", "j", "filter"))
-    lists = table["filters"].combine_chunks()
     ends = np.flatnonzero(np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
     begins = np.concatenate(([0], ends[:-1]))
     unit = _units(table["vector"].to_pylist(), width)
-    left, right = [], []
+    found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    totals, links = np.zeros(len(ids), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def settle():
+        """Count the pairs found so far whose first common filter is this one, and thin their links."""
+        if not found:
+            return
+        left, right = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+        used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+        bits, first = _filter_bits(table["filters"].combine_chunks().take(pa.array(used))), []
+        at = 0
+        for f, p, _ in found:
+            first.append(_first_here(bits, place[at : at + len(p)], place[len(left) + at : len(left) + at + len(p)], f))
+            at += len(p)
+        first = np.concatenate(first)
+        left, right = left[first], right[first]
+        np.add.at(totals, left, copies[right])
+        np.add.at(totals, right, copies[left])
+        links.append(joined(ids[left], ids[right]))
+        found.clear()
+
     for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
         if b - a < 2:
             continue
+        same = i[a] == j[a]
         x = a + np.flatnonzero(chunk[a:b] == i[a])
-        y = x if i[a] == j[a] else a + np.flatnonzero(chunk[a:b] == j[a])
-        p, q = np.nonzero(unit[x] @ unit[y].T >= least)
-        p, q = x[p], y[q]
-        ok = p < q if i[a] == j[a] else p != q
-        left.append(p[ok])
-        right.append(q[ok])
-    if not left:
-        return
-    left, right = np.concatenate(left), np.concatenate(right)
-    if not len(left):
-        return
-    used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
-    own = lists.take(pa.array(used))
-    bits = np.zeros((len(used), CODEWORDS * CODEWORDS), bool)
-    bits[np.repeat(np.arange(len(used)), np.asarray(own.value_lengths())), own.flatten().to_numpy()] = True
-    bits = np.packbits(bits, axis=1)
-    first = np.zeros(len(left), bool)
-    for k in range(0, len(left), PAIRS_AT_ONCE):
-        common = bits[place[: len(left)][k : k + PAIRS_AT_ONCE]] & bits[place[len(left) :][k : k + PAIRS_AT_ONCE]]
-        byte = (common != 0).argmax(axis=1)
-        lowest = byte * 8 + 8 - np.ceil(np.log2(common[np.arange(len(byte)), byte] + 1.0)).astype(np.int64)
-        first[k : k + PAIRS_AT_ONCE] = lowest == here[left[k : k + PAIRS_AT_ONCE]]
-    left, right = left[first], right[first]
-    if not len(left):
+        y = x if same else a + np.flatnonzero(chunk[a:b] == j[a])
+        for u in range(0, len(x), BLOCK):
+            for v in range(u if same else 0, len(y), BLOCK):
+                p, q = np.nonzero(unit[x[u : u + BLOCK]] @ unit[y[v : v + BLOCK]].T >= least)
+                p, q = x[u : u + BLOCK][p], y[v : v + BLOCK][q]
+                ok = p < q if same else p != q
+                if ok.any():
+                    found.append((int(here[a]), p[ok], q[ok]))
+                if sum(len(f[1]) for f in found) >= LINKS_AT_ONCE:
+                    settle()
+    settle()
+    some = np.flatnonzero(totals)
+    if not len(some):
         return
-    vertices, at = np.unique(np.concatenate([ids[left], ids[right]]), return_inverse=True)
-    totals = np.bincount(at, weights=np.concatenate([copies[right], copies[left]])).astype(np.int64)
-    kept = forest(ids[left].tolist(), ids[right].tolist())
+    vertices, at = np.unique(ids[some], return_inverse=True)
+    sums = np.bincount(at, weights=totals[some]).astype(np.int64)
+    left, right = joined(np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links]))
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(np.repeat(np.array([0, 1], np.int32), [len(vertices), len(kept)])),
-            pa.array(np.concatenate([vertices, np.array([a for a, _ in kept], np.int64)])),
-            pa.array(np.concatenate([totals, np.array([b for _, b in kept], np.int64)])),
+            pa.array(np.repeat(np.array([0, 1], np.int32), [len(vertices), len(left)])),
+            pa.array(np.concatenate([vertices, left])),
+            pa.array(np.concatenate([sums, right])),
         ],
         names=["kind", "a", "b"],
     )
@@ -204,8 +247,10 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
     decoded = written(decoded, "decoded")
     parts = shuffle_parts(spark)
     postings = decoded.select("*", F.explode("filters").alias("filter"))
-    most = math.ceil(math.sqrt(8 * parts))
-    large = written(postings.groupBy("label", "size", "filter").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("label", "size", "filter", F.least(F.lit(most), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunks")), "large")
+    # As many chunks as spread a filter over all tasks, and more where a chunk would hold over LARGEST vectors.
+    spread = F.least(F.lit(math.ceil(math.sqrt(8 * parts))), F.ceil(F.col("n") / CHUNK))
+    chunks = F.greatest(spread, F.ceil(F.col("n") / LARGEST)).cast("int")
+    large = written(postings.groupBy("label", "size", "filter").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("label", "size", "filter", chunks.alias("chunks")), "large")
     cells = (
         postings.join(large, ["label", "size", "filter"], "left")
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -218,6 +263,7 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
         .sortWithinPartitions("cell")
     )
     found = written(cells.mapInArrow(lambda batches: _cells(width, least, batches), FOUND), "found")
+    drop(decoded, large)
     release(spark)
     groups = components(found.where("kind = 1").select("a", "b"))
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others"))
@@ -228,6 +274,7 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
         .select("print", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id")),
         "labelled",
     )
+    drop(found, classes, groups)
     alone = members.where("print is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = members.where("print is not null").join(labelled, "print").select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -15,7 +15,8 @@ Pairs left by rare tokens are verified over their texts. Sets found by combinati
 rare tokens in the short prefix, and share none; so what they share is counted on their frequent tokens alone, exactly,
 as a matrix product. Such sets are first grouped (those that share a combination), a group is cut into chunks, and each
 pair of chunks is one cell: a group of any size is spread over the tasks, and only links that join components leave a
-cell, never all pairs.
+block of a cell, never all pairs. A combination that many sets share is posted once a batch, with links of the sets
+there, so no hot combination comes to one task.
 
 Equal sets are one class from the start. Frequencies are counted over all tokens of all classes; "frequent" is what
 more than 32 classes hold, or, where that were over MOST_FREQUENT tokens, the next power of two that keeps them below
@@ -32,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import bucketed, dropped, release, shuffle_parts, with_texts, written
-from lakeweave.llm.components import components, forest
+from lakeweave.llm.common import bucketed, drop, dropped, release, shuffle_parts, with_texts, written
+from lakeweave.llm.components import components, joined
 from lakeweave.llm.text import U64, WHITE, mix, shingle_sets, slices, string_buffers, words_of
 
 WORDS = 5
@@ -41,6 +42,7 @@ FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 SINGLE_CLASSES = 4  # sets of less than 2**4 tokens index frequent tokens alone too
 CHUNK = 64
+LARGEST = 1 << 14  # sets of a chunk at most
 LOW32 = U64(0xFFFFFFFF)
 
 
@@ -157,6 +159,18 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np
 POSTED = "bucket int, kind int, ids binary, sizes binary, counts binary, keys binary"
 
 
+def _thinned(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the keys of a batch's sets each once, with the first row that has it, and links of rows that share keys: fewer than rows. So a key that most sets have is one posting a batch."""
+    order = np.argsort(keys, kind="stable")
+    keys, row = keys[order], row[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    first = row[new][np.cumsum(new) - 1] if len(keys) else row
+    other = first != row
+    pairs = np.unique(np.column_stack([first[other], row[other]]), axis=0)
+    a, b = joined(pairs[:, 0], pairs[:, 1])
+    return row[new], keys[new], a, b
+
+
 def _packed(kind, bucket, docs, sizes, row, keys):
     """One row per bucket: each document once, with its set's size (twice, and one more if frequent tokens are in its prefix) and its number of keys."""
     order = np.lexsort((row, bucket))
@@ -170,7 +184,7 @@ def _packed(kind, bucket, docs, sizes, row, keys):
 
 
 def _posted(buckets, held, batches):
-    """Keys of rare tokens (kind 0), keys of frequent ones (1), and the frequent tokens of the sets that have such keys (2)."""
+    """Keys of rare tokens (kind 0), keys of frequent ones (1), the frequent tokens of the sets that have such keys (2), and links of sets that share such keys in a batch (3)."""
     frequent = held.value
     for batch in batches:
         docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -203,6 +217,10 @@ def _posted(buckets, held, batches):
             if own:
                 row = np.repeat([r for r, _ in own], [len(k) for _, k in own])
                 keys = np.concatenate([k for _, k in own])
+                if kind == 1:
+                    row, keys, a, b = _thinned(row, keys)
+                    a, b = docs[a], docs[b].astype(np.uint64)
+                    rows += _packed(3, (mix(a.astype(U64)) % U64(buckets)).astype(np.int64), a, np.zeros(len(a), np.int64), np.arange(len(a)), b)
                 if kind < 2:
                     place = placed(keys, buckets)
                     rows += _packed(kind, (place >> U64(32)).astype(np.int64), docs, sizes, row, (place & LOW32).astype(np.uint32))
@@ -256,7 +274,9 @@ def _found(table: pa.Table) -> pa.Table:
         first = np.repeat(begin, length - 1)
         rest = np.arange(len(first)) - np.repeat(np.cumsum(length - 1) - (length - 1), length - 1) + first + 1
         both = np.unique(np.column_stack([ids[order[first]], ids[order[rest]]]), axis=0)
-        near = np.array(forest(both[:, 0].tolist(), both[:, 1].tolist()), np.int64).reshape(-1, 2)
+        near = np.column_stack(joined(both[:, 0], both[:, 1]))
+    ids, _, keys = _unpacked(table, 3, np.uint64)
+    near = np.concatenate([near, np.column_stack([ids, keys.astype(np.int64)])])
     ids, sizes, keys = _unpacked(table, 2, np.uint64)
     new = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
     ends = [*new[1:].tolist(), len(ids)] if len(new) else []
@@ -284,14 +304,12 @@ def _cell(table: pa.Table) -> pa.Table:
     tokens = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
     sides = [np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)]
     distinct, column = np.unique(np.concatenate(tokens), return_inverse=True)
-    ends = np.cumsum([len(t) for t in tokens])
     row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     shared_columns = np.flatnonzero(np.bincount(column, minlength=len(distinct)) > 1)
     number = np.full(len(distinct), -1)
     number[shared_columns] = np.arange(len(shared_columns))
     column = number[column]
-    a, b = [], []
-    del ends
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for x in np.array_split(sides[0], -(-len(sides[0]) // 1024) or 1):
         for y in np.array_split(sides[1], -(-len(sides[1]) // 1024) or 1):
             shared = np.zeros((len(x), len(y)), np.float32)
@@ -308,10 +326,8 @@ def _cell(table: pa.Table) -> pa.Table:
             p, q = np.nonzero(linked(shared.astype(np.int64), n[x][:, None], n[y][None, :]))
             p, q = x[p], y[q]
             ok = ids[p] < ids[q] if i == j else ids[p] != ids[q]
-            a += ids[p[ok]].tolist()
-            b += ids[q[ok]].tolist()
-    kept = forest(a, b)
-    return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
+            a, b = joined(np.concatenate([a, ids[p[ok]]]), np.concatenate([b, ids[q[ok]]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _verified(k, batches):
@@ -343,7 +359,8 @@ def class_links(texts: DataFrame) -> DataFrame:
 
     groups = components(found.where("kind = 1").select("a", "b"))
     most = math.ceil(math.sqrt(8 * parts))
-    sizes = written(groups.groupBy("component").agg(F.least(F.lit(most), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks")), "sizes")
+    spread = F.least(F.lit(most), F.ceil(F.count("*") / CHUNK))  # over all tasks, and so that no chunk holds over LARGEST sets
+    sizes = written(groups.groupBy("component").agg(F.greatest(spread, F.ceil(F.count("*") / LARGEST)).cast("int").alias("chunks")), "sizes")
     sets = written(found.where("kind = 2").select(F.col("a").alias("node"), "n", "tokens").join(groups, "node"), "sets")
     cells = (
         sets.join(sizes, "component")
@@ -358,6 +375,7 @@ def class_links(texts: DataFrame) -> DataFrame:
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     by_rare = written(both.mapInArrow(lambda batches: _verified(WORDS, batches), LINKS), "links")
+    drop(totals, found, groups, sizes, sets, pairs)
     release(spark)
     return by_frequent.unionByName(by_rare)
 
@@ -375,9 +393,12 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     classes = written(members.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("first")), "classes")
     firsts = classes.select(F.col("first").alias("doc_id"))
     texts, name = bucketed(documents.where("doc_id is not null").join(firsts.hint("merge"), "doc_id", "left_semi"), "doc_id")
-    release(docs.sparkSession)
-    found = components(class_links(texts))
-    dropped(docs.sparkSession, name)
+    try:
+        release(docs.sparkSession)
+        links = class_links(texts)
+    finally:
+        dropped(docs.sparkSession, name)
+    found = components(links)
     labelled = written(classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("print", F.coalesce("component", "first").alias("component_id")), "labelled")
     none = members.where("print is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return members.where("print is not null and doc_id is not null").join(labelled, "print").select("doc_id", "n_shingles", "component_id").unionByName(none)

@@ -44,6 +44,22 @@ def test_components(spark):
     assert c.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_forest_joins_what_links_join():
-    kept = c.forest([1, 2, 3, 1], [2, 3, 1, 9])
-    assert len(kept) == 3
+def test_joined_joins_what_links_join():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 1), (5, 4), (400, 300), (3000, 900), (5000, 60)):
+        a, b = rng.integers(0, m, n), rng.integers(0, m, n)
+        x, y = c.joined(a, b)
+        parent = list(range(m))
+
+        def root(k, parent=parent):
+            while parent[k] != k:
+                k = parent[k]
+            return k
+
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = sorted((root(p), root(q)))
+            parent[q] = p
+        assert len(x) <= max(0, m - 1) and sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted((root(k), k) for k in range(m) if root(k) != k)
+    line = np.arange(5000)
+    x, y = c.joined(line[1:], line[:-1])
+    assert (x == 0).all() and len(y) == 4999
