@@ -46,6 +46,11 @@ def test_contamination(spark, prose, odd_docs):
             assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(names), bool(hit))
             assert r["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
     assert sum(r["contaminated"] for r in found.values()) >= 12
+    long = " ".join(t for _, t in items[:4])
+    for window, most in ((10, 40), (3, 7), (10, 1 << 20)):
+        of = lambda t: {tuple(plain_words(t)[k : k + window]) for k in range(len(plain_words(t)) - window + 1)}  # noqa: B023, E731
+        cut = list(decontaminate.pieces(long, window, most))
+        assert set().union(*map(of, cut)) == of(long) and all(len(plain_words(c)) >= window for c in cut)
     odd = decontaminate.contamination(odd_docs, bench).collect()
     assert len(odd) == 9 and not any(r["contaminated"] for r in odd)
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
