@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lakeweave.llm import bpe, cap_filters, co_training, decontaminate, langid, license_scan, ngram_join, oracle, pseudo_likelihood, secrets, site_style
 from lakeweave.llm.common import table
@@ -45,7 +44,7 @@ def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return license_scan.scan(docs.withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))))
+    return license_scan.scan(docs.withColumn("path", license_scan.document_path()))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
