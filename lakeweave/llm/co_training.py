@@ -2,12 +2,13 @@
 
 The text view sees what stands in a document: shares of kinds of bytes and words, repetition, and its hashed words. The
 metadata view sees its columns: hashed categories, numbers by their order of magnitude. Each view has a logistic
-regression fitted on the labelled sample. Over some rounds each view labels the unlabelled documents that it is most
-sure of for the other one. At last both are calibrated on labelled documents that neither has learned from, and the
-weights with which their calibrated log-odds combine are fitted there too. All documents are scored in one pass.
-
-Fitting takes bounded samples: LABELLED labelled and UNLABELLED other documents, those of least hash of their id, which
-is a random choice that doesn't depend on the partitions. Nothing else depends on a sample.
+regression, fitted first on a labelled sample: LABELLED documents, those of least hash of their id, which is a random
+choice that doesn't depend on the partitions. Then, in each round, both views score all documents on the cluster, and
+each labels for the other those that it is sure of, however many these are. The pseudo-labelled documents stay where
+they are: their loss goes into the next fit as its slope and curvature at the present weights, summed as integers, so
+a round costs one pass and the driver gets a few thousand numbers. At last both views are calibrated on a quarter of the
+labelled sample, whose labels neither has learned from, and the weights with which their calibrated log-odds combine are
+fitted there too. All documents are scored in one pass.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import carried
+from lakeweave.llm.common import carried, quoted
 from lakeweave.llm.text import U64, WHITE, slices, string_buffers, words_of
 
 LABELLED = 6_000
-UNLABELLED = 6_000
-ROUNDS = 4
+ROUNDS = 3
 CONFIDENT = 0.95
-EACH_ROUND = 400  # pseudo-labels of a class that a view gives in a round at most
+PSEUDO = 0.5  # the weight of a class's pseudo-labels beside that of its labels
+NEAR = 0.05  # curvature added to a pseudo-loss, which is known near the present weights only
+GRID = 1 << 24  # sums over documents are of multiples of its inverse
 CALIBRATE = 4  # one labelled document in so many is for calibration
 WORD_BUCKETS = 2048
 META_BUCKETS = 512
@@ -109,22 +111,42 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_view(dense, row, bucket, buckets, y, weight, steps: int = STEPS) -> View:
-    """Weighted logistic regression by Adam, with weight decay; classes count alike."""
+@dataclass
+class Slope:
+    """A pseudo-labelled loss near some weights: its slope there, and its curvature, whole for dense weights and by weight for hashed ones."""
+
+    at: np.ndarray
+    slope: np.ndarray
+    dense: np.ndarray
+    hashed: np.ndarray
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        move = w - self.at
+        n = len(self.dense)
+        return self.slope + np.concatenate([self.dense @ move[:n], self.hashed * move[n:]]) + NEAR * move
+
+
+def fit_view(dense, row, bucket, buckets, y, weight, steps: int = STEPS, view: View | None = None, pseudo: Slope | None = None) -> View:
+    """Weighted logistic regression by Adam, with weight decay, from the weights of a view if given; a pseudo-labelled loss comes on top."""
     n = len(y)
-    centre, scale = dense.mean(axis=0), dense.std(axis=0)
-    centre[scale < 1e-9], scale[scale < 1e-9] = 0, 1
+    if view is None:
+        centre, scale = dense.mean(axis=0), dense.std(axis=0)
+        centre[scale < 1e-9], scale[scale < 1e-9] = 0, 1
+        w = np.zeros(dense.shape[1] + buckets)
+    else:
+        centre, scale, w = view.centre, view.scale, np.concatenate([view.dense, view.hashed])
     x = scaled(dense, centre, scale)
     root = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
-    w = np.zeros(dense.shape[1] + buckets)
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
         margin = x @ w[: x.shape[1]] + np.bincount(row, weights=w[x.shape[1] :][bucket], minlength=n) * root
         error = (sigmoid(margin) - y) * weight
         grad = np.concatenate([x.T @ error, np.bincount(bucket, weights=(error * root)[row], minlength=buckets)]) + 1e-4 * w
+        if pseudo is not None:
+            grad += pseudo.gradient(w)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return View(centre, scale, w[: x.shape[1]], w[x.shape[1] :])
 
 
@@ -145,7 +167,7 @@ class Model:
     text: View
     meta: View
     combine: np.ndarray  # weights of the calibrated log-odds, and a constant
-    rounds: list[tuple[int, int]]  # pseudo-labels that each view gave
+    rounds: list[tuple[int, int]]  # pseudo-labels that each view gave in each round
 
     def scores(self, text_margin, meta_margin):
         a, b = self.text.calibrated(text_margin), self.meta.calibrated(meta_margin)
@@ -161,37 +183,59 @@ def take(features, rows: np.ndarray):
     return dense[rows], place[row[keep]], bucket[keep]
 
 
-def co_train(text, meta, y: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """y: 1 or 0 where a label is known, -1 where not. Without both classes there is no model."""
-    known = np.flatnonzero(y >= 0)
-    if len(np.unique(y[known])) < 2:
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Weights with which both classes count alike."""
+    return np.where(y == 1, 1 / max(1, int((y == 1).sum())), 1 / max(1, int((y == 0).sum())))
+
+
+def sums_of(view: View, dense, row, bucket, buckets, y: np.ndarray) -> np.ndarray:
+    """Of each class of pseudo-labelled documents (y; -1 for none) their number, and the sums of slope, dense and hashed curvature, as whole numbers of 1 / GRID."""
+    n, d = len(dense), dense.shape[1]
+    x = scaled(dense, view.centre, view.scale)
+    count = np.bincount(row, minlength=n)
+    root = 1 / np.sqrt(np.maximum(count, 1))
+    p = sigmoid(view.margin(dense, row, bucket))
+    out = []
+    for label in (0, 1):
+        own = y == label
+        error, curve = np.where(own, p - label, 0), np.where(own, p * (1 - p), 0)
+        whole = lambda z: np.rint(z * GRID)
+        pairs = (x[:, :, None] * x[:, None, :]).reshape(n, d * d)
+        out.append(np.concatenate([
+            [float(own.sum())], whole(x * error[:, None]).sum(axis=0), np.bincount(bucket, weights=whole(error * root)[row], minlength=buckets),
+            whole(pairs * curve[:, None]).sum(axis=0), np.bincount(bucket, weights=whole(curve * root * root)[row], minlength=buckets),
+        ]))
+    return np.array(out).astype(np.int64)
+
+
+def slope_of(view: View, sums: np.ndarray) -> Slope | None:
+    """The loss of the pseudo-labelled documents, each class with the weight PSEUDO / 2; none without any."""
+    if not sums[:, 0].any():
+        return None
+    d = len(view.dense)
+    mean = PSEUDO / 2 * sum(s[1:] / GRID / s[0] for s in sums.astype(np.float64) if s[0])
+    buckets = len(view.hashed)
+    slope, pairs, hashed = mean[: d + buckets], mean[d + buckets : d + buckets + d * d], mean[d + buckets + d * d :]
+    return Slope(np.concatenate([view.dense, view.hashed]), slope, pairs.reshape(d, d), hashed)
+
+
+def co_train(text, meta, y: np.ndarray, exchange, rounds: int = ROUNDS) -> Model | None:
+    """A model from the features and labels (0 or 1) of a sample. exchange(text view, meta view) gives the sums_of() of both views over all documents. Without both classes there is no model."""
+    if len(np.unique(y)) < 2:
         return None
-    held = known[::CALIBRATE] if len(np.unique(y[known[::CALIBRATE]])) == 2 and len(known) >= 40 else known
-    base = np.setdiff1d(known, held) if len(held) < len(known) else known
+    every = np.arange(len(y))
+    held = every[::CALIBRATE] if len(np.unique(y[::CALIBRATE])) == 2 and len(y) >= 40 else every
+    base = np.setdiff1d(every, held) if len(held) < len(every) else every
     if len(np.unique(y[base])) < 2:
-        base = held = known
-    free = np.flatnonzero(y < 0)
-    labels = [dict(zip(base.tolist(), y[base].tolist(), strict=True)) for _ in range(2)]
-    views, given = [None, None], []
-    for r in range(rounds + 1):
-        for k, (features, buckets) in enumerate(((text, WORD_BUCKETS), (meta, META_BUCKETS))):
-            rows = np.array(sorted(labels[k]))
-            own = np.array([labels[k][i] for i in rows.tolist()], np.float64)
-            true = y[rows] >= 0
-            weight = np.where(own == 1, 1 / max(1, (own == 1).sum()), 1 / max(1, (own == 0).sum())) * np.where(true, 1.0, 0.5)
-            views[k] = fit_view(*take(features, rows), buckets, own, weight)
-        if r == rounds or not len(free):
-            break
-        count = []
-        for k, features in enumerate((text, meta)):
-            rows = free[[i not in labels[1 - k] for i in free.tolist()]]
-            p = sigmoid(views[k].margin(*take(features, rows)))
-            best = np.argsort(p, kind="stable")
-            low = [i for i in best[:EACH_ROUND].tolist() if p[i] <= 1 - CONFIDENT]
-            high = [i for i in best[::-1][:EACH_ROUND].tolist() if p[i] >= CONFIDENT]
-            labels[1 - k].update({int(rows[i]): 0 for i in low} | {int(rows[i]): 1 for i in high})
-            count.append(len(low) + len(high))
-        given.append(tuple(count))
+        base = held = every
+    own = y[base].astype(np.float64)
+    parts = ((text, WORD_BUCKETS), (meta, META_BUCKETS))
+    views = [fit_view(*take(features, base), buckets, own, balanced(own)) for features, buckets in parts]
+    given = []
+    for _ in range(rounds):
+        sums = exchange(*views)
+        given.append((int(sums[1][:, 0].sum()), int(sums[0][:, 0].sum())))
+        views = [fit_view(*take(features, base), buckets, own, balanced(own), STEPS, view, slope_of(view, s)) for (features, buckets), view, s in zip(parts, views, sums, strict=True)]
     odds = []
     for view, features in zip(views, (text, meta), strict=True):
         margin = view.margin(*take(features, held))
@@ -205,7 +249,8 @@ def meta_buckets(columns: list[str], types: dict[str, str]):
     out = []
     for c in columns:
         numeric = types[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or types[c].startswith("decimal")
-        value = F.floor(2 * F.log2(F.abs(F.col(c).cast("double")) + 1)).cast("string") if numeric else F.col(c).cast("string")
+        column = quoted(c)
+        value = F.floor(2 * F.log2(F.abs(column.cast("double")) + 1)).cast("string") if numeric else column.cast("string")
         out.append(F.pmod(F.xxhash64(F.lit(c), F.coalesce(value, F.lit("\0null"))), F.lit(META_BUCKETS)).cast("int"))
     return F.array(*out) if out else F.array().cast("array<int>")
 
@@ -222,28 +267,65 @@ def _sampled(batches):
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, meta_cols: list[str], id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS) -> Model | None:
-    """The model from bounded samples of documents with and without a label. Conflicting labels of an id count as none."""
+def _meta_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The metadata view's features of n rows of bucket lists: a constant, and the hashed values."""
+    meta = np.array(column.to_pylist(), np.int64).reshape(n, -1)
+    return np.ones((n, 1)), np.repeat(np.arange(n), meta.shape[1]), meta.ravel()
+
+
+def _exchanged(held, batches):
+    """The sums of a task's documents: those of the text view under the labels that the metadata view is sure of, and the other way."""
+    text, meta = held.value
+    total = [0, 0]
+    for batch in batches:
+        for i, j, dense, pairs in text_features(batch.column(0)):
+            n = j - i
+            words = dense, pairs // WORD_BUCKETS, pairs % WORD_BUCKETS
+            columns = _meta_of(batch.column(1).slice(i, n), n)
+            sure = []
+            for view, features in ((text, words), (meta, columns)):
+                p = sigmoid(view.margin(*features))
+                sure.append(np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1)))
+            total[0] = total[0] + sums_of(text, *words, WORD_BUCKETS, sure[1])
+            total[1] = total[1] + sums_of(meta, *columns, META_BUCKETS, sure[0])
+    found = [(k, t.tobytes()) for k, t in enumerate(total) if not isinstance(t, int)]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([t for _, t in found], pa.binary())], names=["view", "sums"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table["sums"].to_pylist())
+    return pa.table({"view": pa.array([table["view"][0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame, labels: DataFrame, meta_cols: list[str], id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
+    """The model from a bounded sample of labelled documents and all documents. Conflicting labels of an id count as none; of rows with the same id one is in the sample."""
     known = labels.where(F.col(label_id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id_col).cast("long").alias("doc_id"))
     known = known.agg(F.min(F.col(label_col).cast("int")).alias("y"), F.max(F.col(label_col).cast("int")).alias("z")).where("y = z and y in (0, 1)").select("doc_id", "y")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = ids.join(known, "doc_id").orderBy(*order).limit(labelled)
-    rest = ids.join(known, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("y")).orderBy(*order).limit(unlabelled)
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r["doc_id"], r["y"]) for r in some.collect() + rest.collect()], "doc_id long, y int")
-    types = dict(docs.dtypes)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), meta_buckets(meta_cols, types).alias("meta")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "meta", "y")
-    found = {r["doc_id"]: r for r in sorted(rows.mapInArrow(_sampled, "doc_id long, dense binary, words binary, meta array<int>, y int").collect(), key=lambda r: (r["doc_id"], r["words"], r["dense"]))}
-    if not found:
+    some = ids.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
+    if len({r["y"] for r in some}) < 2:
         return None
-    found = [found[i] for i in sorted(found)]
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame([(r["doc_id"], r["y"]) for r in some], "doc_id long, y int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), meta_buckets(meta_cols, dict(docs.dtypes)).alias("meta"))
+    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "meta", "y").mapInArrow(_sampled, "doc_id long, dense binary, words binary, meta array<int>, y int")
+    found = [r["one"] for r in sample.groupBy("doc_id").agg(F.min(F.struct("doc_id", "words", "dense", "meta", "y")).alias("one")).collect()]
+    found.sort(key=lambda r: r["doc_id"])
     dense = np.array([np.frombuffer(r["dense"], np.float64) for r in found])
     words = [np.frombuffer(r["words"], np.int16).astype(np.int64) for r in found]
     number = np.arange(len(found))
     text = dense, np.repeat(number, [len(w) for w in words]), np.concatenate(words)
     meta = np.ones((len(found), 1)), np.repeat(number, len(meta_cols)), np.array([r["meta"] for r in found], np.int64).reshape(-1)
-    return co_train(text, meta, np.array([r["y"] for r in found]), rounds)
+
+    def exchange(text_view, meta_view):
+        held = spark.sparkContext.broadcast((text_view, meta_view))
+        out = [np.zeros((2, 1 + d + b + d * d + b), np.int64) for d, b in ((dense.shape[1], WORD_BUCKETS), (1, META_BUCKETS))]
+        for r in rows.select("text", "meta").mapInArrow(lambda batches: _exchanged(held, batches), "view int, sums binary").groupBy("view").applyInArrow(_added, "view int, sums binary").collect():
+            out[r["view"]] = np.frombuffer(r["sums"], np.int64).reshape(2, -1)
+        held.unpersist()
+        return out
+
+    return co_train(text, meta, np.array([r["y"] for r in found]), exchange, rounds)
 
 
 def _scored(held, threshold, batches):
@@ -254,9 +336,8 @@ def _scored(held, threshold, batches):
             if model is None:
                 one = [np.ones(n)] * 3
             else:
-                meta = np.array(batch.column(2).slice(i, n).to_pylist(), np.int64).reshape(n, -1)
                 a = model.text.margin(dense, pairs // WORD_BUCKETS, pairs % WORD_BUCKETS)
-                b = model.meta.margin(np.ones((n, 1)), np.repeat(np.arange(n), meta.shape[1]), meta.ravel())
+                b = model.meta.margin(*_meta_of(batch.column(2).slice(i, n), n))
                 one = [np.round(x, 6) for x in model.scores(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), *(pa.array(x) for x in one), pa.array(one[2] >= threshold)], names=["doc_id", "text_prob", "meta_prob", "score", "keep"])
 
@@ -266,7 +347,7 @@ def classify(docs: DataFrame, labels: DataFrame, meta_cols: list[str] | None = N
 
     Metadata columns default to all but the id and the text. Defined cases: a null text is as an empty one, a null in
     the metadata a value of its own; labels other than 0 and 1, null or conflicting are ignored; without labels of both
-    classes every probability is 1 and all documents stay; a null id is scored like any other, but learns nothing;
+    classes every probability is 1 and all documents stay; a null id is scored like any other, but its label is not known;
     repeated documents are scored each; no rows give none.
     """
     columns = meta_cols if meta_cols is not None else [c for c in docs.columns if c not in (id_col, text_col)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.sources.scratch import application_dir, delete, drop, shared_dir, written
 
-__all__ = ["bucketed", "carried", "drop", "dropped", "release", "shared_dir", "shuffle_parts", "table", "with_texts", "written"]
+__all__ = ["application_dir", "bucketed", "carried", "drop", "dropped", "quoted", "release", "shared_dir", "shuffle_parts", "table", "with_texts", "written"]
 
 
 def bucketed(df: DataFrame, key: str, name: str = "b") -> tuple[DataFrame, str]:
@@ -47,6 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever dots or marks the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs, under names of its own, so that no other column can clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
@@ -67,4 +72,4 @@ def carried(docs: DataFrame, inputs: list[Column], function: Callable, combine:
             if len(batch):
                 yield from combine(own, pa.Table.from_batches(list(function(iter([given]))))).to_batches()
 
-    return docs.select(*(docs[f"`{c}`"] for c in docs.columns), *(x.alias(f"_input{k}") for k, x in enumerate(inputs))).mapInArrow(run, schema)
+    return docs.select(*(quoted(c).alias(f"_own{k}") for k, c in enumerate(docs.columns)), *(x.alias(f"_input{k}") for k, x in enumerate(inputs))).mapInArrow(run, schema)

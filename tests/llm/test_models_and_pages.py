@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lakeweave.llm import bpe, co_training, pseudo_likelihood, queries, site_style
@@ -35,6 +36,9 @@ def test_quality_of_unlabelled_documents(spark, prose, odd_docs):
     model = co_training.train(d, y, ["site", "n"])
     assert len(model.rounds) == co_training.ROUNDS and model.rounds[0][0] > 0
     assert [tuple(r) for r in co_training.classify(d.repartition(3), y).orderBy("doc_id").collect()] == [tuple(found[k]) for k in sorted(found)]
+    assert sum(model.rounds[0]) > 400  # of 2 x 600 pseudo-labels: no bound on the documents that give them
+    dotted = d.withColumnRenamed("site", "a.site").withColumn("b c", F.lit(1))
+    assert co_training.keep_good(dotted, y).columns == dotted.columns
     odd = co_training.classify(odd_docs, y).collect()
     assert len(odd) == 9 and all(0 <= r["score"] <= 1 for r in odd)
     none = co_training.classify(odd_docs, y.limit(0)).collect()
@@ -43,6 +47,28 @@ def test_quality_of_unlabelled_documents(spark, prose, odd_docs):
     assert co_training.keep_good(odd_docs, y.limit(0)).count() == 9
 
 
+def test_sums_of_pseudo_labels_are_those_of_the_loss():
+    """Against the plain loss of the same documents: its slope and curvature by differences, and the numbers of labels."""
+    rng, n, d, buckets = np.random.default_rng(5), 40, 3, 7
+    dense, row, bucket = rng.normal(size=(n, d)), np.repeat(np.arange(n), 4), rng.integers(0, buckets, 4 * n)
+    view = co_training.View(np.zeros(d), np.ones(d), rng.normal(size=d), rng.normal(size=buckets))
+    y = rng.integers(-1, 2, n)
+    found = co_training.slope_of(view, co_training.sums_of(view, dense, row, bucket, buckets, y))
+
+    def loss(w):
+        margin = co_training.View(np.zeros(d), np.ones(d), w[:d], w[d:]).margin(dense, row, bucket)
+        each = np.log1p(np.exp(-np.where(y == 1, margin, -margin)))
+        return co_training.PSEUDO / 2 * (each[y == 1].mean() + each[y == 0].mean())
+
+    def slope(w):
+        return np.array([(loss(w + e) - loss(w - e)) / 2e-5 for e in np.eye(d + buckets) * 1e-5])
+
+    w = np.concatenate([view.dense, view.hashed])
+    assert np.allclose(found.slope, slope(w), atol=1e-5) and np.allclose(found.gradient(w), found.slope)
+    curve = np.array([(slope(w + e) - slope(w - e)) / 2e-3 for e in np.eye(d + buckets) * 1e-3])
+    assert np.allclose(found.dense, curve[:d, :d], atol=1e-3)
+
+
 def test_gradient_is_that_of_the_loss():
     shape, rng = pseudo_likelihood.Shape(4), np.random.default_rng(2)
     p = pseudo_likelihood.start(shape, np.arange(16), 3).astype(np.float64)
@@ -126,7 +152,7 @@ def test_style_trees_remove_what_a_host_repeats(spark):
     assert found[61]["text"] == "Same\nCopies stay whole" and site_style.extract(df).count() == len(rows) and site_style.extract(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark, prose, tmp_path):
+def test_pipeline(spark, prose, tmp_path, monkeypatch):
     docs, labels = quality_corpus(prose, 240)
     docs = [(k, t, "en", s, n) for k, t, s, n in docs]
     texts = {k: t for k, t, *_ in docs}
@@ -143,6 +169,14 @@ def test_pipeline(spark, prose, tmp_path):
     assert found[1002]["decoded_sha256"] == hashlib.sha256(masked.encode()).hexdigest()
     codec = bpe.codec(bpe.default_vocabulary())
     assert found[1]["n_tokens"] == len(codec.encode(np.frombuffer(texts[1].encode(), np.uint8)))
+    assert list(codec.encode(np.frombuffer(texts[1].encode(), np.uint8))) == found[1]["ids"]
+    folder, made = str(tmp_path / "stages"), []
+    first = corpus_pipeline.run(spark, str(tmp_path), folder)
+    assert {r["doc_id"]: r["ids_sha256"] for r in first.collect()} == {k: r["ids_sha256"] for k, r in found.items()}
+    (tmp_path / "stages/4-encoding/_SUCCESS").unlink()
+    stages = [(n, lambda *a, n=n, f=f: made.append(n) or f(*a)) for n, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert corpus_pipeline.run(spark, str(tmp_path), folder).count() == len(found) and made == ["encoding"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secret_scan", "encoding"]
 
 
