@@ -1,6 +1,6 @@
 """LM scoring by masked pseudo-likelihood: a window network in numpy predicts every token from both sides.
 
-Tokens. The vocabulary grows with the square root of the words of the corpus. Half of its tokens are the most frequent
+Tokens. The vocabulary is half the square root of the words of the corpus. Half of its tokens are the most frequent
 words, the other half are hash classes of all other words, so that every word has a token of its own or shares it with
 few. The network sums one vector for each of the SIDE words before and after the masked one (a table by place and
 token), then tanh and a softmax in two levels, over classes of tokens and over the tokens of a class, so that a
@@ -34,16 +34,16 @@ EPOCHS = 4  # at most
 LEAST_GAIN = 0.005  # of the held-out loss by an epoch's last round, for another epoch
 HELD_OUT = 64  # one passage in so many
 PASSAGE = 1 << 15  # tokens of a document that train together
-STREAM = 160  # positions of a stream for each token of the vocabulary
+STREAM = 256  # positions of a stream for each token of the vocabulary
 LEAST_STREAM = 1 << 17
-BATCH = 64  # positions of a step for each class
-LOWEST = np.float32(-60)  # logits below the highest by more count as this far off: smaller shares would be denormal numbers
+BATCH = 128  # positions of a step for each class
+FARTHEST = 40  # from 0, of a score
 CACHED = 1024  # rows of a product whose results stay in the cache
 RATE = 0.15
 UNIT = 1 << 20
 BLOCK = 1 << 14  # parameters in a row on their way to the average
 SEED = 5
-AT_ONCE = 1 << 14
+AT_ONCE = 1 << 16
 SCORED = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
 PASSAGES = "doc_id long, first boolean, stream long, key long, lead int, n int, tokens binary"
 
@@ -82,8 +82,8 @@ class Shape:
 
 
 def shape_of(words: int) -> Shape:
-    """A vocabulary of about the square root of the words of the corpus, 256 tokens at least."""
-    return Shape(max(16, math.ceil(max(words, 1) ** 0.25)))
+    """A vocabulary of about half the square root of the words of the corpus, 256 tokens at least."""
+    return Shape(max(16, math.ceil((max(words, 1) / 4) ** 0.25)))
 
 
 def start(shape: Shape, counts: np.ndarray | None = None, seed: int = SEED) -> np.ndarray:
@@ -104,21 +104,19 @@ def start(shape: Shape, counts: np.ndarray | None = None, seed: int = SEED) -> n
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=1, keepdims=True)
-    np.maximum(x, LOWEST, out=x)
+    """In place; scores count within FARTHEST of 0, so nothing overflows and no share is a denormal number."""
+    np.clip(x, -FARTHEST, FARTHEST, out=x)
     np.exp(x, out=x)
-    x *= 1 / x.sum(axis=1, keepdims=True)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     return x
 
 
 def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log of the softmax of each row at one place; x is used up."""
-    x -= x.max(axis=1, keepdims=True)
+    np.clip(x, -FARTHEST, FARTHEST, out=x)
     own = x[np.arange(len(at)), at]
-    np.maximum(x, LOWEST, out=x)
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def _segments(shape: Shape, target: np.ndarray):
