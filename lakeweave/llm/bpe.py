@@ -3,9 +3,9 @@
 A text is cut where a rolling hash of its last bytes says so, so that passages shared by documents give the same
 chunks wherever they stand. Each distinct chunk is encoded once and kept in a bounded cache of the worker process,
 which outlives its tasks. A cut may fall inside a word, so each join is repaired: from the last boundary in the left
-chunk to the first one in the right chunk at which the two encodings must agree with the whole text's (a space after
-an ASCII character that is no space always begins a new pre-token), the seam is encoded again; where the chunks'
-tokens don't end exactly there, the seam grows to the next such boundary, until they do.
+chunk to the first one in the right chunk at which the two encodings must agree with the whole text's (places at which
+a new pre-token always begins, see boundaries()), the seam is encoded again; where the chunks' tokens don't end exactly
+there, the seam grows to the next such boundary, until they do. A text without any boundary is one chunk.
 """
 
 from __future__ import annotations
@@ -27,8 +27,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPECIAL = {b"<|endoftext|>": 50256}  # fixed: the vocabulary's special tokens
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SPLIT = b"<|endoftext|>"
-_SAFE_BEFORE = np.zeros(256, bool)
-_SAFE_BEFORE[0x21:0x7F] = True
+# Kinds of ASCII characters whose runs are pre-tokens: letters 1, digits 2, marks 3, a space 4; others are in no boundary.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+_KIND[0x20] = 4
+_STARTS = np.zeros((5, 5), bool)  # where a kind follows another, a pre-token starts: at a space after anything else, and between other kinds
+_STARTS[1:4, 4] = True
+_STARTS[1:4, 1:4] = ~np.eye(3, dtype=bool)
+_IDEOGRAPH = np.zeros(256, bool)
+_IDEOGRAPH[0xE5:0xE9] = True  # first bytes of U+5000 to U+8FFF, all of them letters
 
 
 def default_vocabulary() -> str:
@@ -98,7 +107,9 @@ class Codec:
         cuts = cut_points(data)
         if not len(cuts):
             return self.chunk(raw)[0]
-        safe = np.flatnonzero((data[1:] == 0x20) & _SAFE_BEFORE[data[:-1]]) + 1
+        safe = boundaries(data)
+        if not len(safe):
+            return self.chunk(raw)[0]
         bounds = [0, *cuts.tolist(), n]
         chunks = [self.chunk(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         inner = np.searchsorted(safe, cuts, "right")
@@ -139,6 +150,21 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """Places at which a new pre-token begins whatever stands before or behind.
+
+    That is where ASCII characters of different kinds meet, but for what follows a space, which goes with it, or an
+    apostrophe, which may be one of a contraction; and an ideographic comma or full stop after an ideograph.
+    """
+    kind = _KIND[data]
+    found = _STARTS[kind[:-1], kind[1:]] & (data[:-1] != 0x27)
+    if len(data) > 5 and (data >= 0xE5).any():
+        first = data[3:-2]
+        stop = (first == 0xE3) & (data[4:-1] == 0x80) & ((data[5:] == 0x81) | (data[5:] == 0x82)) | (first == 0xEF) & (data[4:-1] == 0xBC) & (data[5:] == 0x8C)
+        found[2:-2] |= stop & _IDEOGRAPH[data[:-5]]
+    return np.flatnonzero(found) + 1
+
+
 def cut_points(data: np.ndarray) -> np.ndarray:
     """Content-defined cuts: where the hash of the last ROLL bytes, plain case folded, has its low bits zero; never inside a character."""
     n = len(data)

@@ -160,7 +160,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], held_out: Column
                 for i, j in _parts(some):
                     parts = [np.unique(text_grams(t), return_counts=True) for t in some[i:j]]
                     distinct = np.unique(np.concatenate([g for g, _ in parts]))
-                    vectors = np.zeros((j - i, dimensions), np.float32)
+                    vectors = np.zeros((j - i, dimensions))  # products of a block are exact in single precision below 2**24 trigrams of a text
                     for k in range(0, len(distinct), 8192):
                         block = distinct[k : k + 8192]
                         counts = np.zeros((j - i, len(block)), np.float32)
@@ -168,8 +168,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], held_out: Column
                             inside = slice(*np.searchsorted(g, [block[0], block[-1] + 1]))
                             counts[r, np.searchsorted(block, g[inside])] = c[inside]
                         vectors += counts @ own.of(block).astype(np.float32)
-                    length = np.linalg.norm(vectors.astype(np.float64), axis=1)
-                    cosines = (vectors @ unit.T.astype(np.float32)) / np.maximum(length, 1e-9)[:, None] if names else np.zeros((j - i, 1))
+                    length = np.linalg.norm(vectors, axis=1)
+                    cosines = (vectors @ unit.T) / np.maximum(length, 1e-9)[:, None] if names else np.zeros((j - i, 1))
                     best = cosines.argmax(axis=1)
                     some_letter = np.array([len(g) > 0 for g, _ in parts]) & bool(names)
                     score = np.where(some_letter, np.clip(cosines[np.arange(j - i), best], 0, 1), 0.0)
