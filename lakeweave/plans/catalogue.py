@@ -289,7 +289,7 @@ def compacted_scan(spark, sf):
     t = store(spark, "compact")
     t.append(read(spark, sf, "lineitem").where("l_linenumber <= 3"))
     t.append(read(spark, sf, "lineitem").where("l_linenumber > 3"))
-    t.compact(["l_orderkey"], 4)
+    t.compact(["l_orderkey", "l_shipdate"], 4)
     return t.read().groupBy("l_returnflag").agg(F.count("*").alias("linhas"), F.sum(money("l_extendedprice")).cast("decimal(38,2)").alias("valor"))
 
 

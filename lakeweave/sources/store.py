@@ -16,6 +16,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweave.operators.clustering import z_value
 from lakeweave.operators.joins import absent
 from lakeweave.operators.ordering import latest
 
@@ -169,8 +170,12 @@ class SnapshotTable:
         return self.append(source)
 
     def compact(self, cluster_by: list[str], files: int) -> int:
-        """The same rows in so many files, those with near values of some columns together."""
-        df = self.read().repartitionByRange(files, *cluster_by).sortWithinPartitions(*cluster_by)
+        """The same rows in so many files, those with near values of some columns together: by range of one, on a Z-order curve of several."""
+        df = self.read()
+        if len(cluster_by) == 1:
+            df = df.repartitionByRange(files, *cluster_by).sortWithinPartitions(*cluster_by)
+        else:
+            df = df.withColumn("_z", z_value(df, cluster_by)).repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z")
         part = f"data/{PART}={uuid.uuid4().hex}"
         (df.write.partitionBy(*self.partition_by) if self.partition_by else df.write).parquet(f"{self.path}/{part}")
         return self._commit([part], "compact")

@@ -225,3 +225,34 @@ def test_stream_takes_up_columns_within_a_run_and_keeps_odd_lines(spark, tmp_pat
     raw = SnapshotTable(spark, str(tmp_path / "raw"))
     ingest_stream(spark, str(d), raw, str(tmp_path / "cp"), "b", "2024-01-01", max_files=1)
     assert rows(raw.read(), "x", "y", "z", "_rescued_data") == [("1", "2", None, None), ("4", None, "3", None), ("7", "8", None, "7,8,9")]
+
+
+def test_files_are_clustered_by_several_columns(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    df = spark.range(4096).select((F.col("id") % 64).alias("a"), F.floor(F.col("id") / 64).alias("b"), F.concat(F.lit("n"), F.lpad((F.col("id") % 64).cast("string"), 2, "0")).alias("s"), F.when(F.col("id") > 9, F.expr("date_add(DATE'2024-01-01', CAST(id % 64 AS INT))")).alias("d"))
+    for columns in (["a", "b"], ["s", "b"], ["d", "b"]):
+        t.replace(df.repartition(3))
+        t.compact(columns, 16)
+        spans = t.read().groupBy(F.col("_metadata.file_path")).agg(*(F.countDistinct(c).alias(c) for c in columns)).collect()
+        assert len(spans) > 8 and t.read().count() == 4096
+        assert sum(r[columns[0]] for r in spans) / len(spans) < 32 and sum(r[columns[1]] for r in spans) / len(spans) < 32
+
+
+def test_examples_of_rejections_and_tallies(spark):
+    from lakeweave.operators import quality
+
+    rules = [quality.Rule("a", "", "x > 0"), quality.Rule("w", "", "x < 5", quality.WARN)]
+    rows_ = quality.judged(spark.createDataFrame([(1,), (None,), (9,), (-1,)], "x int"), rules)
+    assert quality.tallied(rows_, rules) == {"read": 4, "rejected": 2, "warning_w": 2}
+    bin_ = quality.quarantine(rows_.where(F.size(quality.REASONS) > 0), "e", [], "silver", "b", "2024-01-01")
+    assert quality.sample(bin_, 1).count() == 1 and set(quality.sample(bin_, 9).columns) == {"entidade", quality.REASONS, "registro_original"}
+
+
+def test_tables_in_the_catalog(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.replace(spark.createDataFrame([(1, "a")], "k int, v string"))
+    assert spark.sql(f"SELECT * FROM {t.register('held', 'lake_test')}").count() == 1
+    t.append(spark.createDataFrame([(2, "b")], "k int, v string"))
+    t.register("held_now", "lake_test")
+    assert spark.sql("SELECT * FROM held_now").count() == 2
+    spark.sql("DROP DATABASE lake_test CASCADE")
