@@ -66,11 +66,8 @@ class Codec:
         self.encoded = self.reused = 0
 
     def plain(self, piece: bytes) -> np.ndarray:
-        """Ids of bytes that may begin or end inside a character."""
-        try:
-            return np.array(self.encoding.encode_ordinary(piece.decode()), np.uint32)
-        except UnicodeDecodeError:
-            return np.array(self.encoding._encode_bytes(piece), np.uint32)
+        """Ids of whole characters; cuts and seams never part one."""
+        return np.array(self.encoding.encode_ordinary(piece.decode()), np.uint32)
 
     def chunk(self, piece: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk and the byte offsets at which they end; encoded once for as long as the cache holds it."""
