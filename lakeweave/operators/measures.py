@@ -2,7 +2,7 @@
 
 Distinct counts are kept out of Spark's Expand, which would repeat every input row once for each of them. Columns of a
 bounded domain (days of a month, channels, codes) are counted as sets beside the other measures; unbounded ones are
-counted from the distinct pairs of group and value, which are pre-aggregated before they move.
+counted together from the distinct pairs of group and value, narrow rows that are pre-aggregated before they move.
 """
 
 from __future__ import annotations
@@ -59,12 +59,13 @@ def measures(table: str) -> tuple[Measure, ...]:
 
 
 def aggregated(df: DataFrame, keys: list[str], table: tuple[Measure, ...]) -> DataFrame:
-    """One row per group with all measures; null keys are a group like any other."""
+    """One row per group with all measures; null keys are a group like any other. Distinct counts of any number of columns take one more pass."""
     out = df.groupBy(*keys).agg(*(m.aggregate() for m in table if m.kind != "distinct"))
-    for m in (m for m in table if m.kind == "distinct"):
-        rows = df.where(m.where) if m.where else df
-        pairs = rows.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(m.column).alias("_value")).distinct()
-        counts = pairs.groupBy(*(f"_{k}" for k in keys)).agg(F.count("_value").alias(m.name))
+    distinct = [m for m in table if m.kind == "distinct"]
+    if distinct:
+        values = [F.struct(F.lit(k).alias("m"), (F.when(F.expr(m.where), F.col(m.column)) if m.where else F.col(m.column)).cast("string").alias("v")) for k, m in enumerate(distinct)]
+        pairs = df.select(*(F.col(k).alias(f"_{k}") for k in keys), F.explode(F.array(*values)).alias("_pair")).where("_pair.v IS NOT NULL").distinct()
+        counts = pairs.groupBy(*(f"_{k}" for k in keys)).agg(*(F.count_if(F.col("_pair.m") == k).alias(m.name) for k, m in enumerate(distinct)))
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        out = out.join(counts, same, "left").drop(*(f"_{k}" for k in keys)).withColumn(m.name, F.coalesce(m.name, F.lit(0)).cast("long"))
+        out = out.join(counts, same, "left").drop(*(f"_{k}" for k in keys)).withColumns({m.name: F.coalesce(m.name, F.lit(0)).cast("long") for m in distinct})
     return out.select(*keys, *(m.name for m in table))
