@@ -156,14 +156,14 @@ def _filter_bits(lists: pa.Array) -> np.ndarray:
     return out
 
 
-def _first_here(bits: np.ndarray, p: np.ndarray, q: np.ndarray, here: int) -> np.ndarray:
-    """Of pairs of rows, which have this filter as the first that they share."""
+def _first_here(bits: np.ndarray, p: np.ndarray, q: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Of pairs of rows, which have the filter that they were found by as the first that they share."""
     first = np.zeros(len(p), bool)
     for k in range(0, len(p), PAIRS_AT_ONCE):
         common = bits[p[k : k + PAIRS_AT_ONCE]] & bits[q[k : k + PAIRS_AT_ONCE]]
         byte = (common != 0).argmax(axis=1)
         lowest = byte * 8 + 8 - np.ceil(np.log2(common[np.arange(len(byte)), byte] + 1.0)).astype(np.int64)
-        first[k : k + PAIRS_AT_ONCE] = lowest == here
+        first[k : k + PAIRS_AT_ONCE] = lowest == here[k : k + PAIRS_AT_ONCE]
     return first
 
 
@@ -174,42 +174,41 @@ def _cell_rows(table: pa.Table, width, least):
     ends = np.flatnonzero(np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
     begins = np.concatenate(([0], ends[:-1]))
     unit = _units(table["vector"].to_pylist(), width)
-    found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     totals, links = np.zeros(len(ids), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    n_found = 0
 
     def settle():
         """Count the pairs found so far whose first common filter is this one, and thin their links."""
         if not found:
             return
-        left, right = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+        left, right = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        found.clear()
         used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
-        bits, first = _filter_bits(table["filters"].combine_chunks().take(pa.array(used))), []
-        at = 0
-        for f, p, _ in found:
-            first.append(_first_here(bits, place[at : at + len(p)], place[len(left) + at : len(left) + at + len(p)], f))
-            at += len(p)
-        first = np.concatenate(first)
+        bits = _filter_bits(table["filters"].combine_chunks().take(pa.array(used)))
+        first = _first_here(bits, place[: len(left)], place[len(left) :], here[left])
         left, right = left[first], right[first]
         np.add.at(totals, left, copies[right])
         np.add.at(totals, right, copies[left])
         links.append(joined(ids[left], ids[right]))
-        found.clear()
 
     for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
         if b - a < 2:
             continue
         same = i[a] == j[a]
-        x = a + np.flatnonzero(chunk[a:b] == i[a])
+        x = np.arange(a, b) if same else a + np.flatnonzero(chunk[a:b] == i[a])
         y = x if same else a + np.flatnonzero(chunk[a:b] == j[a])
         for u in range(0, len(x), BLOCK):
             for v in range(u if same else 0, len(y), BLOCK):
                 p, q = np.nonzero(unit[x[u : u + BLOCK]] @ unit[y[v : v + BLOCK]].T >= least)
-                p, q = x[u : u + BLOCK][p], y[v : v + BLOCK][q]
+                p, q = x[p + u], y[q + v]
                 ok = p < q if same else p != q
                 if ok.any():
-                    found.append((int(here[a]), p[ok], q[ok]))
-                if sum(len(f[1]) for f in found) >= LINKS_AT_ONCE:
+                    found.append((p[ok], q[ok]))
+                    n_found += int(ok.sum())
+                if n_found >= LINKS_AT_ONCE:
                     settle()
+                    n_found = 0
     settle()
     some = np.flatnonzero(totals)
     if not len(some):
