@@ -205,16 +205,19 @@ def test_late_parents_heal_orphans_and_idle_runs_read_nothing(spark, tmp_path):
     own = [line for line in lines if '"id_cliente": 3,' in line]
     clients.write_text("".join(line for line in lines if line not in own))
     settings = Settings(root=str(tmp_path))
-    flow.run(settings, spark)
+
+    def run(**more):
+        return [flow.run(Settings(root=str(tmp_path), mode=mode, **more), spark)["read"] for mode in ("bronze", "silver")]
+
+    run()
     accounts = SnapshotTable(spark, settings.table("silver", "dim_conta"))
     assert accounts.read().where("id_cliente = 3").count() == 0
     (clients.parent / "late.json").write_text("".join(own))
-    flow.run(settings, spark)
+    run()
     healed = accounts.read().where("id_cliente = 3").count()
     assert healed > 0
-    assert flow.run(settings, spark)["read"] == 0
-    again = flow.run(Settings(root=str(tmp_path), again=True), spark)
-    assert again["read"] > 0 and accounts.read().where("id_cliente = 3").count() == healed
+    assert run() == [0, 0]
+    assert run(again=True)[1] > 0 and accounts.read().where("id_cliente = 3").count() == healed
 
 
 def test_stream_takes_up_columns_within_a_run_and_keeps_odd_lines(spark, tmp_path):
