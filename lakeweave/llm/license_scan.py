@@ -59,7 +59,8 @@ def directory(path):
 
 
 def words_of(text):
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
+    """A text's words without stop words; the dotted capital I, which the JVM alone lower-cases to two characters, is an i."""
+    return F.filter(F.split(F.lower(F.replace(text, F.lit("\u0130"), F.lit("i"))), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
 
 
 def squares(words):
@@ -79,35 +80,34 @@ def scan(docs: DataFrame, path_col="path", id_col="doc_id", text_col="text", lea
     """One row per file: its licence, the best unit's cosine, and whence: header, file, inherited or none.
 
     Defined cases: a null or empty text has no header; a null path is the root's; of equal cosines the licence first
-    in order wins; in a directory files of a licence file's name go first, then the best; repeated ids share the units
-    found under the id and come out as often; a null id has no header but inherits; no rows give none. Other columns
-    are not read.
+    in order wins; in a directory files of a licence file's name go first, then the best; the units of rows with the
+    same id are compared apart, and each such row has the best header found under the id; a null id has no header but
+    inherits, and isn't counted as a file of the corpus; no rows give none. Other columns are not read.
     """
     spark = docs.sparkSession
     files = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
     terms = values(spark)
     vocabulary = sorted({t for _, _, t, _ in template_terms()})
-    every = files.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(units(F.col("text"))).alias("unit_no", "u")).select("doc_id", "unit_no", F.col("u.kind").alias("kind"), words_of(F.col("u.unit")).alias("words"))
+    every = files.where("doc_id is not null and text is not null").select("doc_id", F.explode(units(F.col("text"))).alias("u")).select("doc_id", F.col("u.kind").alias("kind"), words_of(F.col("u.unit")).alias("words"))
     split = every.withColumn("known", F.filter("words", lambda w: w.isin(*vocabulary))).where(F.size("known") > 0)
     other = F.size("words") - F.size("known")
     bound = least * least / (1 - least * least) - 1e-4  # what squares of known words are to those of others at the least cosine
     hits = split.where(F.pow(F.size("known"), F.lit(2.0)) >= bound * other).where(squares(F.col("known")) >= bound * other)
-    hits = written(hits.select("doc_id", "unit_no", "kind", "words", "known"), "units")
-    unit = ["doc_id", "unit_no"]
-    total = F.lit(files.select("doc_id").distinct().count())
-    occurrences = hits.select(*unit, F.explode("words").alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("n"))
+    hits = written(hits.select("doc_id", F.monotonically_increasing_id().alias("unit"), "kind", "words", "known"), "units")
+    total = F.lit(files.where("doc_id is not null").select("doc_id").distinct().count())
+    occurrences = hits.select("unit", F.explode("words").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("n"))
     frequency = hits.select("doc_id", F.explode("known").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log((total + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     idf = written(terms.select("term").distinct().join(frequency, "term", "left").select("term", weight.alias("idf")), "idf")
     weighted = terms.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     lengths = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("template_length"))
     weighed = occurrences.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.log(total + 1) + 1))
-    unit_lengths = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("unit_length"))
-    dots = weighed.join(F.broadcast(weighted.select("term", "template", "license", "w")), "term").groupBy(*unit, "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    unit_lengths = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("unit_length"))
+    dots = weighed.join(F.broadcast(weighted.select("term", "template", "license", "w")), "term").groupBy("unit", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("unit_length") * F.col("template_length")), 6)
-    alike = dots.join(unit_lengths, unit).join(F.broadcast(lengths), "template").select(*unit, "license", cosine.alias("cosine")).where(F.col("cosine") >= least)
-    best_unit = alike.groupBy(*unit).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
-    sized = best_unit.join(hits.select(*unit, "kind", F.size("words").alias("n_words")), unit)
+    alike = dots.join(unit_lengths, "unit").join(F.broadcast(lengths), "template").select("unit", "license", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    best_unit = alike.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
+    sized = best_unit.join(hits.select("unit", "doc_id", "kind", F.size("words").alias("n_words")), "unit")
     by_kind = sized.groupBy("doc_id", "kind").agg(F.min("best").alias("best"), F.sum("n_words").alias("n"))
     headers = written(by_kind.groupBy("doc_id").agg(F.min("best").alias("best"), F.max("n").alias("n_matched")).select("doc_id", F.col("best.license").alias("own"), (-F.col("best.c")).alias("score"), "n_matched"), "headers")
 
