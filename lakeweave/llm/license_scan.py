@@ -5,7 +5,7 @@ with them templates of single notices, of the paragraphs of standard headers and
 are the words of the templates that aren't stop words. A unit's other words count in its length with the greatest weight
 that the corpus gives, so a notice inside running prose is less alike than one on its own. By Cauchy's inequality the
 squares of its numbers of known and other words bound a unit's cosine to any template; units that can't reach the least
-cosine are left out before any of their words is a row. A file whose name is that of a licence file, or most of whose
+cosine are compared with none, but their words count in the document frequencies, which are those of whole texts. A file whose name is that of a licence file, or most of whose
 words stand in matching units, speaks for its directory; a file without a header takes the licence of the nearest
 directory above it that has one.
 """
@@ -96,7 +96,8 @@ def scan(docs: DataFrame, path_col="path", id_col="doc_id", text_col="text", lea
     hits = written(hits.select("doc_id", F.monotonically_increasing_id().alias("unit"), "kind", "words", "known"), "units")
     total = F.lit(files.where("doc_id is not null").select("doc_id").distinct().count())
     occurrences = hits.select("unit", F.explode("words").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("n"))
-    frequency = hits.select("doc_id", F.explode("known").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    held = F.array_distinct(F.filter(words_of(F.col("text")), lambda w: w.isin(*vocabulary)))
+    frequency = files.where("doc_id is not null").select("doc_id", F.explode(held).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log((total + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     idf = written(terms.select("term").distinct().join(frequency, "term", "left").select("term", weight.alias("idf")), "idf")
     weighted = terms.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
@@ -132,7 +133,7 @@ def document_path():
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL of scan() over documents with document_path()."""
+    """DuckDB SQL of scan() over documents with document_path(); but its frequencies are those of the units within reach alone."""
     rows = ", ".join(f"({k}, '{a}', '{b}', {n})" for k, a, b, n in template_terms())
     stop = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
     split = lambda x: f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ({stop}))"

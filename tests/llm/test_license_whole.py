@@ -27,3 +27,17 @@ def test_null_ids_are_no_files_of_the_corpus(spark):
     rows = [(1, "a/x", MIT[:-1] + " weather words")]
     score = lambda more: {r["doc_id"]: r["score"] for r in license_scan.scan(spark.createDataFrame(rows + filler() + more, SCHEMA)).collect()}[1]
     assert 0 < score([]) < 1 and score([]) == score([(None, "b/x", MIT)])
+
+
+def test_frequencies_are_those_of_whole_texts(spark):
+    """A word of running prose isn't rare because its units are too long to match."""
+    prose = [(100 + k, f"p/{k}", " ".join(f"wort{j}" for j in range(9)) + f" mit leuten und dingen {k}") for k in range(80)]
+    rows = [(1, "a/x", "Leute kommen an\nmit"), (2, "b/x", MIT)]
+    found = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows + prose, SCHEMA)).collect()}
+    assert (found[1], found[2]) == (None, "mit")
+
+
+def test_scores_do_not_depend_on_the_least_cosine(spark):
+    rows = [(1, "a/x", MIT[:-1] + " weather"), (2, "b/x", "permission notice software license " + " ".join(f"w{k}" for k in range(12)))]
+    score = lambda least: {r["doc_id"]: r["score"] for r in license_scan.scan(spark.createDataFrame(rows + filler(), SCHEMA), least=least).collect()}[1]
+    assert score(0.05) == score(0.6) > 0.6
