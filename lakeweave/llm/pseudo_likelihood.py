@@ -60,7 +60,7 @@ class Shape:
 
     @property
     def size(self) -> int:
-        return sum(int(np.prod(s)) for s in self.shapes())
+        return sum(math.prod(s) for s in self.shapes())
 
     def shapes(self) -> list[tuple[int, ...]]:
         """Tables by place, hidden bias, class weights and biases, member weights and biases, and the squares that AdaGrad sums: of table rows, hidden bias, classes and members."""
@@ -70,7 +70,7 @@ class Shape:
     def views(self, p: np.ndarray) -> list[np.ndarray]:
         out, at = [], 0
         for s in self.shapes():
-            n = int(np.prod(s))
+            n = math.prod(s)
             out.append(p[at : at + n].reshape(s))
             at += n
         return out
@@ -103,35 +103,61 @@ def start(shape: Shape, counts: np.ndarray | None = None, seed: int = SEED) -> n
     return p
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place; scores count within FARTHEST of 0, so nothing overflows and no share is a denormal number."""
-    np.clip(x, -FARTHEST, FARTHEST, out=x)
+def _logits(own: np.ndarray, weights: np.ndarray, bias: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of each row, and the factors that their exponentials still lack.
+
+    Scores count within FARTHEST of 0, so nothing overflows and no share is a denormal number. Where none can leave that
+    range they are given without their bias, which enters as the factor exp(bias) of a column.
+    """
+    x = own @ weights
+    if within:
+        return x, np.exp(bias)
+    x += bias
+    return np.clip(x, -FARTHEST, FARTHEST, out=x), np.ones_like(bias)
+
+
+def _within(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether all scores of a softmax are within FARTHEST of 0 whatever the hidden units are, as these are within 1."""
+    return (np.abs(weights).sum(axis=-2) + np.abs(bias)).max(axis=-1) < FARTHEST
+
+
+def _log_share(own: np.ndarray, weights: np.ndarray, bias: np.ndarray, within: bool, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at one place."""
+    x, factor = _logits(own, weights, bias, within)
+    score = x.take(np.arange(0, x.size, x.shape[1]) + at)
     np.exp(x, out=x)
-    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
-    return x
+    return score + np.log(factor[at] / (x @ factor))
+
 
+def _slope(own: np.ndarray, weights: np.ndarray, bias: np.ndarray, within: bool, at: np.ndarray):
+    """Gradients of the summed loss of a softmax, whose rows are of the classes `at`: of the rows, weights and biases.
 
-def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the softmax of each row at one place; x is used up."""
-    np.clip(x, -FARTHEST, FARTHEST, out=x)
-    own = x[np.arange(len(at)), at]
+    Shares are not divided by their sums one by one: the rows that they are multiplied by are.
+    """
+    x, factor = _logits(own, weights, bias, within)
     np.exp(x, out=x)
-    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
+    total = x @ factor
+    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at] -= total / factor[at]
+    share = 1 / total
+    back = x @ (weights * factor).T
+    back *= share[:, None]
+    return back, (own * share[:, None]).T @ x * factor, share @ x * factor
 
 
 def _segments(shape: Shape, target: np.ndarray):
-    """Rows in the order of their target's class, and (class, begin, end) of each."""
-    cls = target // shape.side
+    """The class of each row and its place in it, rows in the order of their target's class, and (class, begin, end) of each, CACHED rows at most."""
+    cls = (target // shape.side).astype(shape.number)
     order = np.argsort(cls, kind="stable")
-    ends = np.cumsum(np.bincount(cls, minlength=shape.side))
-    return cls, order, [(c, int(ends[c - 1]) if c else 0, int(e)) for c, e in enumerate(ends) if e > (ends[c - 1] if c else 0)]
+    ends = np.cumsum(np.bincount(cls, minlength=shape.side)).tolist()
+    return cls, target - cls * shape.side, order, [(c, k, min(k + CACHED, b)) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) for k in range(a, b, CACHED)]
 
 
 def hidden_of(shape: Shape, p: np.ndarray, context: np.ndarray) -> np.ndarray:
     table, bias, *_ = shape.views(p)
-    hidden = np.repeat(bias[None, :], len(context), axis=0)
-    for k in range(2 * SIDE):
-        hidden += table[k][context[:, k]]
+    hidden = table[0].take(context[:, 0], axis=0)
+    for k in range(1, 2 * SIDE):
+        hidden += table[k].take(context[:, k], axis=0)
+    hidden += bias
     return np.tanh(hidden, out=hidden)
 
 
@@ -139,58 +165,52 @@ def log_probs(shape: Shape, p: np.ndarray, context: np.ndarray, target: np.ndarr
     """log P(target | context) of each row."""
     hidden = hidden_of(shape, p, context)
     _, _, out, out_bias, inner, inner_bias, *_ = shape.views(p)
-    cls, order, segments = _segments(shape, target)
-    found, member = np.empty(len(target)), target % shape.side
+    cls, member, order, segments = _segments(shape, target)
+    found, within = np.empty(len(target)), _within(out, out_bias)
     for k in range(0, len(target), CACHED):
-        logits = hidden[k : k + CACHED] @ out
-        logits += out_bias
-        found[k : k + CACHED] = _log_share(logits, cls[k : k + CACHED])
-    hidden, member, logs = hidden[order], member[order], np.empty(len(target))
+        found[k : k + CACHED] = _log_share(hidden[k : k + CACHED], out, out_bias, within, cls[k : k + CACHED])
+    hidden, member, logs = hidden.take(order, axis=0), member[order], np.empty(len(target))
+    within = _within(inner, inner_bias)
     for c, a, b in segments:
-        logits = hidden[a:b] @ inner[c]
-        logits += inner_bias[c]
-        logs[a:b] = _log_share(logits, member[a:b])
+        logs[a:b] = _log_share(hidden[a:b], inner[c], inner_bias[c], within[c], member[a:b])
     found[order] += logs
     return found
 
 
 def gradient(shape: Shape, p: np.ndarray, context: np.ndarray, target: np.ndarray):
-    """Gradients of the summed loss: an order of the rows and, in that order, of the hidden layer's input; of the class level; of each class's members."""
+    """Gradients of the summed loss: an order of the rows and, in that order, of the hidden layer's input; of the class level; of the members of classes."""
     hidden = hidden_of(shape, p, context)
     _, _, out, out_bias, inner, inner_bias, *_ = shape.views(p)
-    cls, order, segments = _segments(shape, target)
-    hidden, cls, member = hidden[order], cls[order], target[order] % shape.side
+    cls, member, order, segments = _segments(shape, target)
+    hidden, cls, member = hidden.take(order, axis=0), cls[order], member[order]
     back, d_out, d_bias = np.empty_like(hidden), np.zeros_like(out), np.zeros_like(out_bias)
+    within = _within(out, out_bias)
     for k in range(0, len(target), CACHED):
-        own = hidden[k : k + CACHED]
-        error = own @ out
-        error += out_bias
-        _softmax(error)[np.arange(len(own)), cls[k : k + CACHED]] -= 1
-        back[k : k + CACHED] = error @ out.T
-        d_out += own.T @ error
-        d_bias += error.sum(axis=0)
-    members = []
+        back[k : k + CACHED], weights, biases = _slope(hidden[k : k + CACHED], out, out_bias, within, cls[k : k + CACHED])
+        d_out += weights
+        d_bias += biases
+    d_inner, d_inner_bias = np.zeros_like(inner), np.zeros_like(inner_bias)
+    within = _within(inner, inner_bias)
     for c, a, b in segments:
-        own = hidden[a:b]
-        error = own @ inner[c]
-        error += inner_bias[c]
-        _softmax(error)[np.arange(b - a), member[a:b]] -= 1
-        back[a:b] += error @ inner[c].T
-        members.append((c, own.T @ error, error.sum(axis=0)))
+        own, weights, biases = _slope(hidden[a:b], inner[c], inner_bias[c], within[c], member[a:b])
+        back[a:b] += own
+        d_inner[c] += weights
+        d_inner_bias[c] += biases
     back *= 1 - hidden * hidden
-    return order, back, d_out, d_bias, members
+    return order, back, d_out, d_bias, [(slice(None), d_inner, d_inner_bias)]
 
 
 def learn(shape: Shape, p: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
     """One step of AdaGrad, in place; a table row, and a column of output weights with its bias, has one rate."""
     by_class, back, d_out, d_bias, members = gradient(shape, p, context, target)
-    context = context[by_class]
     table, bias, out, out_bias, inner, inner_bias, table_squares, bias_square, out_squares, inner_squares = shape.views(p)
     for k in range(2 * SIDE):
-        order = np.argsort(context[:, k], kind="stable")
-        token = context[order, k]
+        own = context[:, k].take(by_class)
+        order = np.argsort(own, kind="stable")
+        token = own.take(order)
         begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        rows, change = token[begin], np.add.reduceat(back[order], begin, axis=0)
+        pairs = back.take(order, axis=0).view(np.result_type(back, np.complex64))  # sums of two columns at once
+        rows, change = token[begin], np.add.reduceat(pairs, begin, axis=0).view(back.dtype)
         table_squares[k][rows] += (change * change).mean(axis=1)
         table[k][rows] -= change * (rate / np.sqrt(table_squares[k][rows]))[:, None]
     change = back.sum(axis=0)
@@ -200,17 +220,17 @@ def learn(shape: Shape, p: np.ndarray, context: np.ndarray, target: np.ndarray,
     out -= d_out * (rate / np.sqrt(out_squares))
     out_bias -= d_bias * (rate / np.sqrt(out_squares))
     for c, weights, biases in members:
-        inner_squares[c] += (weights * weights).mean(axis=0) + biases * biases
+        inner_squares[c] += (weights * weights).mean(axis=-2) + biases * biases
         step = rate / np.sqrt(inner_squares[c])
-        inner[c] -= weights * step
+        inner[c] -= weights * step[..., None, :]
         inner_bias[c] -= biases * step
 
 
 def windows(shape: Shape, token: np.ndarray, lead: int, n: int) -> np.ndarray:
     """The tokens around the n ones after the first `lead`; beyond the ends, the edge."""
-    padded = np.full(len(token) + 2 * SIDE, shape.tokens, np.int64)
+    padded = np.full(len(token) + 2 * SIDE, shape.tokens, shape.number)
     padded[SIDE : SIDE + len(token)] = token
-    return np.column_stack([padded[lead + SIDE + d : lead + SIDE + d + n] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
+    return np.stack([padded[lead + SIDE + d : lead + SIDE + d + n] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]).T
 
 
 def _slices(batch):
@@ -257,23 +277,28 @@ def vocabulary(docs: DataFrame) -> tuple[Shape, np.ndarray]:
 
 def tokens_of(shape: Shape, words, known: np.ndarray) -> np.ndarray:
     """Token numbers of the words of a slice: the rank of a frequent word, else one of the hash classes."""
-    token = (shape.tokens // 2 + (words.hashes % U64(shape.tokens - shape.tokens // 2))).astype(np.int64)
-    if len(known):
-        order = np.argsort(known)
-        at = np.searchsorted(known, words.hashes, sorter=order)
-        at[at == len(known)] = 0
-        rank = order[at]
-        token = np.where(known[rank] == words.hashes, rank, token)
+    h = words.hashes
+    token = (h % U64(shape.tokens - shape.tokens // 2)).astype(shape.number)
+    token += shape.number(shape.tokens // 2)
+    shift = U64(60 - len(known).bit_length())  # sixteen slots or more for a known word, by the first bits of its hash
+    slot, slots, left = h >> shift, known >> shift, np.arange(len(known))
+    while len(left):  # one word of each slot, then another of those that hold two, and so on
+        at = np.zeros(1 << (64 - int(shift)), shape.number)
+        at[slots[left]] = left
+        rank = at.take(slot.view(np.int64))
+        token = np.where(known.take(rank) == h, rank, token)
+        left = left[at[slots[left]] != left]
     return token
 
 
 def _passages(held, streams, batches):
     """Documents as passages of tokens, with SIDE more on either side: the stream and the hash that orders it, -1 for held-out ones."""
     shape, known = held.value
+    places = mix(np.arange(PASSAGE, dtype=U64))
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, j, words in _slices(batch):
-            token = tokens_of(shape, words, known).astype(shape.number)
+            token = tokens_of(shape, words, known)
             rows = []
             for r in range(j - i):
                 a, b = int(words.first[r]), int(words.first[r + 1])
@@ -283,7 +308,7 @@ def _passages(held, streams, batches):
                     lead = min(SIDE, k - a)
                     text = words.hashes[k:e]
                     seed = U64((own * 0x9E3779B97F4A7C15 + k - a + 1) % (1 << 64))
-                    key = int(mix(np.array([(text * mix(np.arange(len(text), dtype=U64))).sum(dtype=U64) ^ seed], U64))[0])
+                    key = int(mix(np.array([(text * places[: len(text)]).sum(dtype=U64) ^ seed], U64))[0])
                     stream = -1 if key % HELD_OUT == 0 else key // HELD_OUT % streams
                     rows.append((None if own == -1 else own, k == a, stream, key - (1 << 63), lead, e - k, token[k - lead : min(b, e + SIDE)].tobytes()))
             columns = list(zip(*rows, strict=True))
@@ -296,7 +321,7 @@ def _of_batch(shape, batch):
     names = batch.schema.names
     blobs, leads, sizes = (batch.column(names.index(c)).to_pylist() for c in ("tokens", "lead", "n"))
     for r, (blob, lead, n) in enumerate(zip(blobs, leads, sizes, strict=True)):
-        yield r, np.frombuffer(blob, shape.number).astype(np.int64), lead, n
+        yield r, np.frombuffer(blob, shape.number), lead, n
 
 
 def _counted_tokens(shape, batches):
@@ -455,13 +480,13 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataF
             for i, j, words in _slices(batch):
                 token = tokens_of(m.shape, words, m.known)
                 n = np.diff(words.first)
-                padded = np.full(len(token) + 2 * SIDE * (j - i + 1), m.shape.tokens, np.int64)
+                padded = np.full(len(token) + 2 * SIDE * (j - i + 1), m.shape.tokens, m.shape.number)
                 at = np.arange(len(token)) + 2 * SIDE * (words.row + 1)
                 padded[at] = token
                 found = np.zeros(len(token))
                 for k in range(0, len(token), AT_ONCE):
                     here = at[k : k + AT_ONCE]
-                    context = np.column_stack([padded[here + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
+                    context = np.stack([padded.take(here + d) for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]).T
                     found[k : k + AT_ONCE] = log_probs(m.shape, m.params, context, token[k : k + AT_ONCE])
                 sums = np.round(np.bincount(words.row, weights=found, minlength=j - i), 3) if len(token) else np.zeros(j - i)
                 mean = np.round(sums / np.maximum(n, 1), 6)
